@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space that parts words: space and \x09 to \x0D, nothing else.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -62,7 +64,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small, so that a Python worker holds a few megabytes at a time."""
+    """For operators that run Python over texts: send the package to the workers, and keep Arrow batches of whole texts
+    small, so that a worker holds a few megabytes at a time."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

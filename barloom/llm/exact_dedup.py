@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import SPACES, cut, shared_folder, small, text_of
 
 CAPACITY = 50_000
@@ -83,6 +84,7 @@ def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, bucket) for every row."""
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select("doc_id", F.regexp_replace(text_of(), SPACES, " ").alias("norm"))
     keyed = texts.select("doc_id", F.xxhash64("norm").alias("key"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"), F.octet_length("norm").alias("n_bytes"), "norm")
     base = cut(keyed.select("doc_id", "key", "digest", "n_bytes", F.monotonically_increasing_id().alias("row")))

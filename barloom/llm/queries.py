@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, simhash
+from . import exact_dedup, langid, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
 from .common import read
 
 
@@ -14,17 +14,41 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.page_line_dedup(read(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(read(spark, sf_dir, "documents")).taken()
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(read(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_exact_dedup, op7_simhash)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_exact_dedup, op4_quality_rules, op5_toxicity, op7_simhash, op8_mixing, op9_language, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
