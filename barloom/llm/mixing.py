@@ -31,7 +31,7 @@ MOST = 2
 _UNIT = 1 << 31
 _PHI = 1327217885  # phi * 2^31, odd
 _CELL_BITS = 21
-_CHUNK = 1 << 16
+_CHUNK = 1 << 12  # slots ranked together at least; more where a source would have over 2^16 chunks
 
 
 class Mix:
@@ -79,7 +79,7 @@ class Mix:
         edges = cut(edges)
         points = self.spark.range(total).select(F.col("id").alias("slot"), ((F.col("id") % _UNIT) * _PHI % _UNIT).alias("u"))
         points = points.withColumn("cell", F.shiftright("u", _CELL_BITS))
-        taken = points.join(small(edges), "cell").where("u >= low AND u < high").select("slot", "no", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
+        taken = points.join(small(edges), "cell").where("u >= low AND u < high").select("slot", "no", F.floor(F.col("slot") / max(_CHUNK, total >> 16)).alias("chunk"))
         sums = taken.groupBy("no", "chunk").agg(F.count(F.lit(1)).alias("n"))
         sums = cut(sums.select("no", "chunk", "n", (F.sum("n").over(Window.partitionBy("no").orderBy("chunk")) - F.col("n")).alias("offset")))
         ranked = taken.withColumn("rank", F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot"))).join(sums.drop("n"), ["no", "chunk"])

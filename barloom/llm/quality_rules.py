@@ -37,9 +37,9 @@ CORE = 0.75
 #: Consistency of the covariance of the inner 75 % in five dimensions.
 SCALE = 1.41
 #: Standard deviations are at least these, in thousandths of a natural logarithm.
-FLOORS = (100.0, 500.0, 500.0, 500.0, 500.0)
-#: Squared distance beyond which a document is rejected (chi-squared, 5 degrees, far beyond the 99.99 % point: shares are skewed).
-CUTOFF = 40.0
+FLOORS = (200.0, 400.0, 1500.0, 1000.0, 500.0)
+#: Squared distance beyond which a document is rejected; chi-squared with 5 degrees has 99.9 % below it.
+CUTOFF = 20.0
 STEPS = 3
 _D = range(5)
 
