@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
+from . import exact_dedup, langid, line_dedup, mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_exact_dedup, op4_quality_rules, op5_toxicity, op7_simhash, op8_mixing, op9_language, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_exact_dedup, op4_quality_rules, op5_toxicity, op6_pii, op7_simhash, op8_mixing, op9_language, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
