@@ -8,10 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import candles
-from .functions import indicators as I
+from .functions import indicators
 from .plans import Indicator, indicate
 from .sources.bars import WALK_BARS_SQL, walk_bars
 
+
+class _Later:
+    """Indicator requests made when a session exists: Columns need one, the names of the queries do not."""
+
+    def __getattr__(self, name: str):
+        def later(*args):
+            return lambda: getattr(indicators, name)(*(a() if callable(a) else a for a in args))
+
+        return later
+
+
+I = _Later()  # noqa: E741
 HLC = ("high", "low", "close")
 OHLC = ("open", *HLC)
 C = "close"
@@ -149,11 +161,11 @@ def _sar(a: float, m: float) -> str:
     return s.text(sar="out")
 
 
-def _catalog() -> dict[str, tuple[Indicator, str | None]]:
+def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     """name -> (request, oracle); a struct's fields are the oracle's columns, else the column is the name."""
-    q: dict[str, tuple[Indicator, str | None]] = {}
+    q: dict[str, tuple[Callable[[], Indicator], str | None]] = {}
 
-    def add(name: str, ind: Indicator, oracle: str | None) -> None:
+    def add(name: str, ind: Callable[[], Indicator], oracle: str | None) -> None:
         q[name] = (ind, oracle)
 
     add("sma", I.SMA(C, 20), Sql().text(sma=full("avg", C, 20)))
@@ -171,7 +183,7 @@ def _catalog() -> dict[str, tuple[Indicator, str | None]]:
     add("midprice", I.MIDPRICE("high", "low", 14), Sql().text(midprice=f"(max(high) OVER {W(14)} + min(low) OVER {W(14)}) / 2"))
     add("mama", I.MAMA(C), None)
     cases = " ".join(f"WHEN {k} THEN {full('avg', C, k)}" for k in range(2, 13))
-    add("mavp", I.MAVP(C, F.col("hour") % 15, 2, 12), Sql().text(mavp=f"CASE least(greatest(hour % 15, 2), 12) {cases} END"))
+    add("mavp", I.MAVP(C, lambda: F.col("hour") % 15, 2, 12), Sql().text(mavp=f"CASE least(greatest(hour % 15, 2), 12) {cases} END"))
     add("sar", I.SAR("high", "low"), _sar(0.02, 0.2))
     add("sarext", I.SAREXT("high", "low"), _sar(0.02, 0.2).replace("(out)::DOUBLE", "(CASE WHEN is_long THEN out ELSE -out END)::DOUBLE").replace(" AS sar FROM", " AS sarext FROM"))
 
@@ -245,7 +257,7 @@ def _catalog() -> dict[str, tuple[Indicator, str | None]]:
     lags = {f"{k}{n}_": f"lag({x}, {n}) OVER {ALL}" for k, x in zip("ohlc", OHLC, strict=True) for n in range(1, 5)}
     for name in candles.RULES:
         short = "cdl_" + name[3:].lower()
-        add(short, candles.candle(name), Sql().step(**lags).text(**{short: candles.expression(name, lag)}))
+        add(short, lambda name=name: candles.candle(name), Sql().step(**lags).text(**{short: candles.expression(name, lag)}))
     return q
 
 
@@ -253,11 +265,9 @@ CATALOG = _catalog()
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    ind = CATALOG[name][0]
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = walk_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
-        out = indicate(bars, ["symbol"], ["hour"], out=ind)
+        out = indicate(bars, ["symbol"], ["hour"], out=CATALOG[name][0]())
         kind = out.schema["out"].dataType
         fields = [(f.name, F.col(f"out.{f.name}")) for f in kind.fields] if hasattr(kind, "fields") else [(name, F.col("out"))]
         return out.select("symbol", "hour", *((F.round(c.cast("double"), 6) + F.lit(0.0)).alias(k) for k, c in fields))
