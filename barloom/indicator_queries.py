@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import candles
@@ -41,6 +41,14 @@ def full(agg: str, x: str, p: int) -> str:
     return f"CASE WHEN count({x}) OVER {W(p)} >= {p} THEN {agg}({x}) OVER {W(p)} END"
 
 
+#: Six digits, the same in both engines on ties, without negative zeros.
+SIX = "floor(({})::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+
+
+def six(c: Column) -> Column:
+    return F.floor(c.cast("double") * 1e6 + 0.5).cast("double") / 1e6
+
+
 class Sql:
     """Common table expressions built up over `bars`."""
 
@@ -75,7 +83,7 @@ class Sql:
         return self.smooth(out, x, p, 1.0 / p)
 
     def text(self, **outputs: str) -> str:
-        columns = ", ".join(f"round(({v})::DOUBLE, 6) + 0.0 AS {k}" for k, v in outputs.items())
+        columns = ", ".join(f"{SIX.format(v)} AS {k}" for k, v in outputs.items())
         return f"WITH RECURSIVE {', '.join(self.ctes)} SELECT symbol, hour, {columns} FROM {self.last}"
 
 
@@ -185,7 +193,7 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     cases = " ".join(f"WHEN {k} THEN {full('avg', C, k)}" for k in range(2, 13))
     add("mavp", I.MAVP(C, lambda: F.col("hour") % 15, 2, 12), Sql().text(mavp=f"CASE least(greatest(hour % 15, 2), 12) {cases} END"))
     add("sar", I.SAR("high", "low"), _sar(0.02, 0.2))
-    add("sarext", I.SAREXT("high", "low"), _sar(0.02, 0.2).replace("(out)::DOUBLE", "(CASE WHEN is_long THEN out ELSE -out END)::DOUBLE").replace(" AS sar FROM", " AS sarext FROM"))
+    add("sarext", I.SAREXT("high", "low"), _sar(0.02, 0.2).replace("((out)::DOUBLE", "((CASE WHEN is_long THEN out ELSE -out END)::DOUBLE").replace(" AS sar FROM", " AS sarext FROM"))
 
     add("adx", I.ADX(*HLC), _dm(14).step(d0="coalesce(dx, 0)").rma("a", "d0", 14).text(adx="a"))
     add("adxr", I.ADXR(*HLC), _dm(14).step(d0="coalesce(dx, 0)").rma("a", "d0", 14).text(adxr=f"(a + lag(a, 13) OVER {ALL}) * 0.5"))
@@ -270,7 +278,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
         out = indicate(bars, ["symbol"], ["hour"], out=CATALOG[name][0]())
         kind = out.schema["out"].dataType
         fields = [(f.name, F.col(f"out.{f.name}")) for f in kind.fields] if hasattr(kind, "fields") else [(name, F.col("out"))]
-        return out.select("symbol", "hour", *((F.round(c.cast("double"), 6) + F.lit(0.0)).alias(k) for k, c in fields))
+        return out.select("symbol", "hour", *(six(c).alias(k) for k, c in fields))
 
     run.__name__ = name
     return run

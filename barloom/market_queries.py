@@ -8,20 +8,533 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import indicators as I
+from .indicator_queries import ALL, SIX, Sql, W, full, six
+from .operators.backtest import Backtest, SequentialBacktester, VectorizedBacktester
+from .operators.factor import Factor
+from .operators.selector import Selector
+from .operators.statistics import clean, linear, returns
+from .operators.strategy import Strategy
 from .plans import indicate
-from .sources.bars import walk_bars
+from .sources.bars import WALK_BARS_SQL, walk_bars
+from .sources.loader import align, union_relaxed
 
+Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def query(oracle: str | None = None):
+    def keep(f):
+        Q[f.__name__] = (f, oracle)
+        return f
+
+    return keep
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date: month, symbol, factor, size, cap, next_return, industry) of suppliers; sums of whole cents, so exact."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    g = rows.groupBy(F.substring(F.col("l_shipdate").cast("string"), 1, 7).alias("date"), F.col("l_suppkey").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), cents("l_quantity").alias("q"), cents("l_discount").alias("d"), cents("l_tax").alias("t"), cents("l_extendedprice").alias("p"))
+    mean = lambda c: F.col(c) / (100.0 * F.col("n"))
+    return g.select("date", "symbol", F.round(mean("q"), 6).alias("factor"), F.round(mean("t"), 6).alias("size"), (F.col("p") / 100.0).alias("cap"), F.round(mean("d") - 0.05, 6).alias("next_return"), (F.col("symbol") % 5).cast("long").alias("industry"))
+
+
+PANEL = """
+g AS (SELECT substr(l_shipdate::VARCHAR, 1, 7) AS date, l_suppkey AS symbol, count(*) AS n, sum(round(l_quantity * 100)::BIGINT)::BIGINT AS q, sum(round(l_discount * 100)::BIGINT)::BIGINT AS d, sum(round(l_tax * 100)::BIGINT)::BIGINT AS t, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS p FROM lineitem GROUP BY 1, 2),
+panel AS (SELECT date, symbol, round(q / (100.0::DOUBLE * n), 6) AS factor, round(t / (100.0::DOUBLE * n), 6) AS size, p / 100.0::DOUBLE AS cap, round(d / (100.0::DOUBLE * n) - 0.05::DOUBLE, 6) AS next_return, (symbol % 5)::BIGINT AS industry FROM g)
+"""
+
+
+def out(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """keys, and values rounded for comparison."""
+    return df.select(*keys, *(six(F.col(v)).alias(v) for v in values))
+
+
+def P(select: str, more: str = "") -> str:
+    return f"WITH {PANEL.strip()}{', ' + more if more else ''} {select}"
+
+
+def r6(x: str, name: str) -> str:
+    return f"{SIX.format(x)} AS {name}"
+
+
+FACTOR = Factor()
+IC = "ic AS (SELECT date, corr(next_return, factor) AS ic, count(*) AS n FROM panel GROUP BY date)"
+
+
+@query()
+def flagship(spark, sf_dir):
     """Bands, MACD and RSI of hourly bars in one plan."""
-    bars = walk_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    out = indicate(bars, ["symbol"], ["hour"], bands=I.BBANDS("close", 20), macd=I.MACD("close"), rsi=I.RSI("close"))
-    return out.select("symbol", "hour", *(F.round(c, 6).alias(n) for n, c in (("bb_upper", F.col("bands.bb_upper")), ("bb_middle", F.col("bands.bb_middle")), ("bb_lower", F.col("bands.bb_lower")), ("macd", F.col("macd.macd")), ("macd_signal", F.col("macd.macd_signal")), ("macd_hist", F.col("macd.macd_hist")), ("rsi", F.col("rsi")))))
+    rows = indicate(bars(spark, sf_dir), ["symbol"], ["hour"], bands=I.BBANDS("close", 20), macd=I.MACD("close"), rsi=I.RSI("close"))
+    rows = rows.select("symbol", "hour", "bands.*", "rsi", F.col("macd.macd").alias("macd"), F.col("macd.macd_signal").alias("macd_signal"), F.col("macd.macd_hist").alias("macd_hist"))
+    return out(rows, ["symbol", "hour"], "bb_upper", "bb_middle", "bb_lower", "macd", "macd_signal", "macd_hist", "rsi")
+
+
+def _flagship_oracle() -> str:
+    s = Sql().step(bm=full("avg", "close", 20), bd=full("stddev_pop", "close", 20)).ema("f", "close", 12).ema("l", "close", 26).step(dif="f - l").step(d0="coalesce(dif, 0)").ema("sig", "d0", 9)
+    s.step(d=f"coalesce(close - lag(close) OVER {ALL}, 0)").step(u="greatest(d, 0)", dn="greatest(-d, 0)").rma("au", "u", 14).rma("an", "dn", 14)
+    return s.text(bb_upper="bm + 2 * bd", bb_middle="bm", bb_lower="bm - 2 * bd", macd="dif", macd_signal="sig", macd_hist="dif - sig", rsi="CASE WHEN an = 0 THEN 100 ELSE 100 - 100 / (1 + au / an) END")
+
+
+Q["flagship"] = (flagship, _flagship_oracle())
+
+
+# loading and alignment
+
+
+def _ragged(spark, sf_dir):
+    return bars(spark, sf_dir).select("hour", "symbol", "close", F.when(F.col("hour") % 7 != 0, F.col("volume")).alias("volume"))
+
+
+def _align(kind: str, fill: str) -> None:
+    def run(spark, sf_dir):
+        return out(align(_ragged(spark, sf_dir), "hour", "symbol", kind, -1.0), ["hour", "symbol"], "close", "volume")
+
+    run.__name__ = f"align_{kind}"
+    grid = "x AS (SELECT hour, symbol, close, CASE WHEN hour % 7 != 0 THEN volume END AS volume FROM bars), y AS (SELECT h.hour, s.symbol, x.close, x.volume FROM (SELECT DISTINCT hour FROM bars) h CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN x ON x.hour = h.hour AND x.symbol = s.symbol)"
+    Q[run.__name__] = (run, f"WITH {WALK_BARS_SQL.strip()}, {grid} SELECT hour, symbol, {r6(fill.format(x='close'), 'close')}, {r6(fill.format(x='volume'), 'volume')} FROM y")
+
+
+_align("forward", "coalesce(last_value({x} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY hour ROWS UNBOUNDED PRECEDING), -1)")
+_align("backward", "coalesce(first_value({x} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), -1)")
+_align("zero", "coalesce({x}, 0)")
+_align("default", "coalesce({x}, -1)")
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")
+def union_by_name(spark, sf_dir):
+    a = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    b = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_acctbal").alias("balance"), F.col("s_suppkey").cast("int").alias("key"))
+    return union_relaxed([a, b])
+
+
+# statistics
+
+
+def _returns(method: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return out(returns(bars(spark, sf_dir), "close", 3, method, "r", ("symbol",), ("hour",)), ["symbol", "hour"], "r")
+
+    run.__name__ = f"returns_{method}"
+    Q[run.__name__] = (run, Sql().step(y=f"lag(close, 3) OVER {ALL}").text(r=sql))
+
+
+_returns("simple", "(close - y) / nullif(y, 0)")
+_returns("log", "CASE WHEN y > 0 AND close > 0 THEN ln(close / y) END")
+
+
+@query(P(f"SELECT date, symbol, {r6('a + b * size', 'pred')}, {r6('next_return - (a + b * size)', 'resid')} FROM panel, (SELECT regr_slope(next_return, size) AS b, regr_intercept(next_return, size) AS a FROM panel)"))
+def linear_one(spark, sf_dir):
+    return out(linear(panel(spark, sf_dir), ["size"], "next_return"), ["date", "symbol"], "pred", "resid")
+
+
+_TWO = """m AS (SELECT {k} avg(factor) AS f, avg(size) AS s, avg(next_return) AS y, count(*) AS n FROM panel {g}),
+v AS (SELECT {k2} n, f, s, y, sum((factor - f) * (factor - f)) AS ff, sum((size - s) * (size - s)) AS ss, sum((factor - f) * (size - s)) AS fs, sum((factor - f) * (next_return - y)) AS fy, sum((size - s) * (next_return - y)) AS sy, sum((next_return - y) * (next_return - y)) AS yy FROM panel {j} GROUP BY ALL),
+c AS (SELECT *, (fy * ss - sy * fs) / nullif(ff * ss - fs * fs, 0) AS b1, (sy * ff - fy * fs) / nullif(ff * ss - fs * fs, 0) AS b2 FROM v),
+e AS (SELECT *, y - b1 * f - b2 * s AS b0, 1 - (yy - b1 * fy - b2 * sy) / nullif(yy, 0) AS r2, (yy - b1 * fy - b2 * sy) / nullif(n - 3, 0) AS s2 FROM c)"""
+
+
+@query(P(f"SELECT date, symbol, {r6('b0 + b1 * factor + b2 * size', 'pred')}, {r6('next_return - (b0 + b1 * factor + b2 * size)', 'resid')}, {r6('r2', 'r_squared')} FROM panel, e", _TWO.format(k="", g="", k2="", j=", m").replace("size - s)", "size - m.s)").replace("factor - f)", "factor - m.f)").replace("next_return - y)", "next_return - m.y)")))
+def linear_two(spark, sf_dir):
+    df, (_, r2) = linear(panel(spark, sf_dir), ["factor", "size"], "next_return", return_stats=True)
+    return out(df.withColumn("r_squared", F.lit(r2)), ["date", "symbol"], "pred", "resid", "r_squared")
+
+
+def _clean(name: str, cut: str, **how) -> None:
+    def run(spark, sf_dir):
+        df = clean(panel(spark, sf_dir), "factor", neutralize_market_cap=True, cap_col="cap", neutralize_industry=True, industry_col="industry", standardize=True, **how)
+        return out(df, ["date", "symbol"], "factor_cleaned")
+
+    run.__name__ = f"clean_{name}"
+    steps = f"""{cut},
+    c2 AS (SELECT *, x - (regr_intercept(x, ln(cap)) OVER () + regr_slope(x, ln(cap)) OVER () * ln(cap)) AS x2 FROM c1),
+    c3 AS (SELECT *, x2 - avg(x2) OVER (PARTITION BY industry) AS x3 FROM c2)"""
+    Q[run.__name__] = (run, P(f"SELECT date, symbol, {r6('(x3 - avg(x3) OVER ()) / stddev_samp(x3) OVER ()', 'factor_cleaned')} FROM c3", steps))
+
+
+_clean("mad", "a1 AS (SELECT median(factor) AS m FROM panel), a2 AS (SELECT m, 3.0::DOUBLE * 1.4826::DOUBLE * median(abs(factor - m)) AS d FROM panel, a1 GROUP BY m), c1 AS (SELECT *, greatest(least(factor, m + d), m - d) AS x FROM panel, a2)", winsorize="mad")
+_clean("sigma", "a1 AS (SELECT avg(factor) AS m, 2.0::DOUBLE * stddev_samp(factor) AS d FROM panel), c1 AS (SELECT *, greatest(least(factor, m + d), m - d) AS x FROM panel, a1)", winsorize="sigma", winsorize_n=2.0)
+_clean("percentile", "a1 AS (SELECT quantile_cont(factor, 0.05) AS lo, quantile_cont(factor, 0.95) AS hi FROM panel), c1 AS (SELECT *, greatest(least(factor, hi), lo) AS x FROM panel, a1)", winsorize="percentile", winsorize_n=5.0)
+
+
+# factors
+
+
+def _column(name: str, make: Callable[[DataFrame], DataFrame], sql: str, more: str = "") -> None:
+    def run(spark, sf_dir):
+        return out(make(panel(spark, sf_dir)), ["date", "symbol"], "x")
+
+    run.__name__ = name
+    Q[name] = (run, P(f"SELECT date, symbol, {r6(sql, 'x')} FROM {'panel' if not more else 'z'}", more))
+
+
+_D = "PARTITION BY date"
+_S = "PARTITION BY symbol ORDER BY date"
+_column("factor_ratio", lambda d: FACTOR.ratio(d, "cap", "size", "x"), "cap / nullif(size, 0)")
+_column("factor_diff", lambda d: FACTOR.diff(d, "factor", "size", "x"), "factor - size")
+_column("factor_diff_normalized", lambda d: FACTOR.diff(d, "factor", "cap", "x", True), "(factor - cap) / nullif(abs(cap), 0)")
+_column("factor_weighted", lambda d: FACTOR.weighted(d, "factor", "cap", "x", ["date", "industry"]), f"sum(factor * cap) OVER ({_D}, industry) / sum(cap) OVER ({_D}, industry)")
+_column("factor_zscore", lambda d: FACTOR.normalize(d, "factor", "zscore", "x", ["date"]), f"(factor - avg(factor) OVER ({_D})) / nullif(stddev_samp(factor) OVER ({_D}), 0)")
+_column("factor_minmax", lambda d: FACTOR.normalize(d, "factor", "minmax", "x", ["date"]), f"(factor - min(factor) OVER ({_D})) / nullif(max(factor) OVER ({_D}) - min(factor) OVER ({_D}), 0)")
+_column("factor_quantile_norm", lambda d: FACTOR.normalize(d, "factor", "quantile", "x", ["date"]), f"percent_rank() OVER ({_D} ORDER BY factor)")
+_column("factor_rank", lambda d: FACTOR.rank(d, "factor", "x", False, False, ["date"]), f"rank() OVER ({_D} ORDER BY factor DESC)")
+_column("factor_rank_pct", lambda d: FACTOR.rank(d, "factor", "x", True, True, ["date"]), f"percent_rank() OVER ({_D} ORDER BY factor)")
+_column("factor_moving_average", lambda d: FACTOR.moving_average(d, "cap", 6, "x"), f"CASE WHEN count(*) OVER ({_S} ROWS 5 PRECEDING) = 6 THEN avg(cap) OVER ({_S} ROWS 5 PRECEDING) END")
+_column("factor_momentum", lambda d: FACTOR.momentum(d, "cap", 6, "x"), f"cap / lag(cap, 6) OVER ({_S}) - 1")
+_RET = f"z0 AS (SELECT *, cap / lag(cap) OVER ({_S}) - 1 AS r FROM panel), z AS (SELECT *, list(r) FILTER (WHERE r IS NOT NULL) OVER ({_S} ROWS 5 PRECEDING) AS rs FROM z0)"
+_column("factor_volatility", lambda d: FACTOR.volatility(d, "cap", 6, "x"), "CASE WHEN len(rs) = 6 THEN list_stddev_samp(rs) END", _RET)
+_SKEW = "(list_sum(list_transform(rs, lambda v: (v - list_avg(rs)) ** 3)) / 6) / nullif((list_sum(list_transform(rs, lambda v: (v - list_avg(rs)) ** 2)) / 6) ** 1.5, 0)"
+_column("factor_skewness", lambda d: FACTOR.skewness(d, "cap", 6, "x"), f"CASE WHEN len(rs) = 6 THEN {_SKEW} END", _RET)
+
+
+@query(Sql().step(d=f"coalesce(close - lag(close) OVER {ALL}, 0)").step(u="greatest(d, 0)", n="greatest(-d, 0)").rma("au", "u", 10).rma("an", "n", 10).text(rs="CASE WHEN an = 0 THEN 100 ELSE 100 - 100 / (1 + au / an) END"))
+def factor_relative_strength(spark, sf_dir):
+    return out(FACTOR.relative_strength(bars(spark, sf_dir), "close", 10, "rs", ("symbol",), ("hour",)), ["symbol", "hour"], "rs")
+
+
+@query(P(f"SELECT date, {r6('ic', 'ic')} FROM ic", IC))
+def factor_ic(spark, sf_dir):
+    return out(FACTOR.ic(panel(spark, sf_dir), "factor", "next_return"), ["date"], "ic")
+
+
+_RANKED = "k AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY factor) + (count(*) OVER (PARTITION BY date, factor) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date ORDER BY next_return) + (count(*) OVER (PARTITION BY date, next_return) - 1) / 2.0 AS b FROM panel)"
+
+
+@query(P(f"SELECT date, {r6('corr(a, b)', 'rank_ic')} FROM k GROUP BY date", _RANKED))
+def factor_rank_ic(spark, sf_dir):
+    return out(FACTOR.rank_ic(panel(spark, sf_dir), "factor", "next_return"), ["date"], "rank_ic")
+
+
+@query(P(f"SELECT {r6('avg(ic)', 'mean_ic')}, {r6('stddev_samp(ic)', 'std_ic')}, {r6('avg(ic) / stddev_samp(ic)', 'ir')} FROM ic", IC))
+def factor_ir(spark, sf_dir):
+    return out(FACTOR.ir(panel(spark, sf_dir), "factor", "next_return"), [], "mean_ic", "std_ic", "ir")
+
+
+@query(P(f"SELECT {r6('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)', 'ic_win_rate')} FROM ic WHERE ic IS NOT NULL", IC))
+def factor_ic_win_rate(spark, sf_dir):
+    return out(FACTOR.ic_win_rate(panel(spark, sf_dir), "factor", "next_return"), [], "ic_win_rate")
+
+
+@query(P(f"SELECT date, {r6('count(CASE WHEN symbol % 3 != 0 THEN factor END) / count(*)', 'coverage')} FROM panel GROUP BY date"))
+def factor_coverage(spark, sf_dir):
+    return out(FACTOR.coverage(panel(spark, sf_dir).withColumn("factor", F.when(F.col("symbol") % 3 != 0, F.col("factor"))), "factor"), ["date"], "coverage")
+
+
+_NT = "q AS (SELECT *, ntile(5) OVER (PARTITION BY date ORDER BY factor, symbol) AS quantile FROM panel)"
+
+
+@query(P(f"SELECT quantile::INT AS quantile, {r6('avg(next_return)', 'mean_return')}, {r6('count(*)', 'count')} FROM q GROUP BY quantile", _NT))
+def factor_quantile(spark, sf_dir):
+    return out(FACTOR.quantile(panel(spark, sf_dir), "factor", "next_return"), ["quantile"], "mean_return", "count")
+
+
+def _sides(top: float, bottom: float) -> str:
+    return f"s0 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY factor DESC, symbol) AS p, count(*) OVER (PARTITION BY date) AS n FROM panel), s AS (SELECT *, p <= floor(n * {top}::DOUBLE) AS l, p > n - floor(n * {bottom}::DOUBLE) AS h FROM s0)"
+
+
+_LS = f"SELECT date, {r6('avg(CASE WHEN l THEN next_return END)', 'long_return')}, {r6('avg(CASE WHEN h THEN next_return END)', 'short_return')}, {r6('avg(CASE WHEN l THEN next_return END) - avg(CASE WHEN h THEN next_return END)', 'ls_return')} FROM s GROUP BY date"
+
+
+@query(P(_LS, _sides(0.2, 0.2)))
+def factor_long_short(spark, sf_dir):
+    return out(FACTOR.long_short(panel(spark, sf_dir), "factor", "next_return"), ["date"], "long_return", "short_return", "ls_return")
+
+
+@query(P(_LS, _sides(0.3, 0.3)))
+def factor_mimicking_portfolio(spark, sf_dir):
+    return out(FACTOR.factor_mimicking_portfolio(panel(spark, sf_dir), "factor", "next_return"), ["date"], "long_return", "short_return", "ls_return")
+
+
+@query(P(f"SELECT t.date, {r6('CASE WHEN max(last) IS NOT NULL THEN 1 - count(b.symbol) / count(*) END', 'turnover')} FROM s t JOIN (SELECT date, lag(date) OVER (ORDER BY date) AS last FROM (SELECT DISTINCT date FROM panel)) d ON t.date = d.date LEFT JOIN (SELECT * FROM s WHERE l) b ON b.date = last AND b.symbol = t.symbol WHERE t.l GROUP BY t.date", _sides(0.2, 0.0)))
+def factor_turnover(spark, sf_dir):
+    return out(FACTOR.turnover(panel(spark, sf_dir), "factor"), ["date"], "turnover")
+
+
+_RES = "c0 AS (SELECT *, size - (regr_intercept(size, factor) OVER () + regr_slope(size, factor) OVER () * factor) AS res FROM panel)"
+
+
+@query(P(f"SELECT date, symbol, {r6('factor', 'factor')}, {r6('res', 'size')} FROM c0", _RES))
+def factor_orthogonalize(spark, sf_dir):
+    return out(FACTOR.clean(panel(spark, sf_dir), ["factor", "size"], "orthogonalize"), ["date", "symbol"], "factor", "size")
+
+
+@query(P(f"SELECT date, symbol, {r6('size', 'size')}, {r6('res', 'size_residual')} FROM c0", _RES))
+def factor_neutralize(spark, sf_dir):
+    return out(FACTOR.clean(panel(spark, sf_dir), ["factor", "size"], "neutralize"), ["date", "symbol"], "size", "size_residual")
+
+
+@query(P(f"SELECT date AS time, {r6('ic', 'ic')}, {r6('CASE WHEN n > 2 AND abs(ic) < 1 THEN ic * sqrt((n - 2) / (1 - ic * ic)) END', 't_stat')} FROM ic", IC))
+def factor_ic_test(spark, sf_dir):
+    return out(FACTOR.ic_test(panel(spark, sf_dir), "factor", "next_return"), ["time"], "ic", "t_stat")
+
+
+@query(P(f"SELECT quantile::INT AS quantile, {r6('avg(r)', 'mean_return')}, {r6('stddev_samp(r)', 'std_return')}, {r6('avg(r) / stddev_samp(r)', 'sharpe')} FROM (SELECT quantile, date, avg(next_return) AS r FROM q GROUP BY ALL) GROUP BY quantile", _NT))
+def factor_portfolio_sorts(spark, sf_dir):
+    return out(FACTOR.portfolio_sorts(panel(spark, sf_dir), "factor", "next_return"), ["quantile"], "mean_return", "std_return", "sharpe")
+
+
+@query(P(f"SELECT date AS time, {r6('b', 'factor_return')}, {r6('b / sqrt((yy - b * xy) / (n - 2) / xx)', 't_stat')} FROM (SELECT date, regr_slope(next_return, factor) AS b, regr_sxx(next_return, factor) AS xx, regr_syy(next_return, factor) AS yy, regr_sxy(next_return, factor) AS xy, count(*) AS n FROM panel GROUP BY date) WHERE n > 2 UNION ALL SELECT date, {r6('regr_slope(next_return, factor)', 'factor_return')}, NULL FROM panel GROUP BY date HAVING count(*) <= 2"))
+def factor_return(spark, sf_dir):
+    return out(FACTOR.factor_return(panel(spark, sf_dir), "factor", "next_return"), ["time"], "factor_return", "t_stat")
+
+
+_T = "avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))"
+
+
+@query(P(f"SELECT lag, {r6('avg(ic)', 'ic')}, {r6(_T, 't_stat')} FROM li GROUP BY lag", "la AS (SELECT *, unnest([{'lag': 0, 'r': next_return}, " + ", ".join(f"{{'lag': {k}, 'r': lead(next_return, {k}) OVER (PARTITION BY symbol ORDER BY date)}}" for k in range(1, 4)) + "], recursive := true) FROM panel), li AS (SELECT date, lag, corr(r, factor) AS ic FROM la GROUP BY ALL)"))
+def factor_ic_decay(spark, sf_dir):
+    return out(FACTOR.ic_decay(panel(spark, sf_dir), "factor", "next_return", max_lag=3), ["lag"], "ic", "t_stat")
+
+
+def _groups(key: str) -> str:
+    return _TWO.format(k=f"{key},", g=f"GROUP BY {key}", k2=f"{key},", j=f"JOIN m USING ({key})").replace("size - s)", "size - m.s)").replace("factor - f)", "factor - m.f)").replace("next_return - y)", "next_return - m.y)")
+
+
+_UNPIVOT = "SELECT {k}, 'intercept' AS factor, b0 AS b, b0 / sqrt(s2 * (1 / n + (f * f * ss - 2 * f * s * fs + s * s * ff) / (ff * ss - fs * fs))) AS t, r2, n FROM e WHERE n > 3 UNION ALL SELECT {k}, 'factor', b1, b1 / sqrt(s2 * ss / (ff * ss - fs * fs)), r2, n FROM e WHERE n > 3 UNION ALL SELECT {k}, 'size', b2, b2 / sqrt(s2 * ff / (ff * ss - fs * fs)), r2, n FROM e WHERE n > 3"
+
+
+@query(P(f"SELECT factor, {r6('avg(b)', 'mean_coef')}, {r6('avg(b) / (stddev_samp(b) / sqrt(count(b)))', 't_stat')} FROM ({_UNPIVOT.format(k='date')}) GROUP BY factor", _groups("date")))
+def factor_fama_macbeth(spark, sf_dir):
+    df = panel(spark, sf_dir)
+    enough = df.groupBy("date").count().where("count > 3").select("date")
+    return out(FACTOR.fama_macbeth(df.join(enough, "date"), ["factor", "size"], "next_return"), ["factor"], "mean_coef", "t_stat")
+
+
+@query(P(f"SELECT symbol AS id, factor, {r6('b', 'coefficient')}, {r6('t', 't_stat')}, {r6('r2', 'r_squared')} FROM ({_UNPIVOT.format(k='symbol')})", _groups("symbol")))
+def factor_time_series_regression(spark, sf_dir):
+    return out(FACTOR.time_series_regression(panel(spark, sf_dir), ["factor", "size"], "next_return"), ["id", "factor"], "coefficient", "t_stat", "r_squared")
+
+
+@query(P(f"SELECT period::INT AS period, min(date) AS start_date, max(date) AS end_date, {r6('avg(ic)', 'mean_ic')}, {r6(_T, 't_stat')} FROM (SELECT *, ntile(3) OVER (ORDER BY date) AS period FROM ic) GROUP BY period", IC))
+def factor_subsample_test(spark, sf_dir):
+    return out(FACTOR.subsample_test(panel(spark, sf_dir), "factor", "next_return"), ["period", "start_date", "end_date"], "mean_ic", "t_stat")
+
+
+@query(P(f'SELECT industry AS "group", {r6("avg(ic)", "mean_ic")}, {r6(_T, "t_stat")} FROM (SELECT date, industry, CASE WHEN stddev_pop(factor) > 0 AND stddev_pop(next_return) > 0 THEN corr(next_return, factor) END AS ic FROM panel GROUP BY ALL) GROUP BY industry'))
+def factor_subgroup_test(spark, sf_dir):
+    return out(FACTOR.subgroup_test(panel(spark, sf_dir), "factor", "next_return", "industry"), ["group"], "mean_ic", "t_stat")
+
+
+_R12 = "OVER (ORDER BY date ROWS 11 PRECEDING)"
+
+
+@query(P(f"SELECT date AS time, {r6(f'CASE WHEN count(ic) {_R12} = 12 THEN avg(ic) {_R12} END', 'rolling_ic')}, {r6(f'CASE WHEN count(ic) {_R12} = 12 THEN avg(ic) {_R12} / stddev_samp(ic) {_R12} END', 'rolling_ir')} FROM ic", IC))
+def factor_rolling_ic(spark, sf_dir):
+    return out(FACTOR.rolling_ic(panel(spark, sf_dir), "factor", "next_return", window=12), ["time"], "rolling_ic", "rolling_ir")
+
+
+# screening
+
+
+def _selector(spark, sf_dir) -> Selector:
+    return Selector(bars(spark, sf_dir), "hour")
+
+
+def _info_sql() -> Sql:
+    s = Sql().step(**{f"p{k}": f"lag(close, {k}) OVER {ALL}" for k in (1, 5, 20)}, z=f"row_number() OVER (PARTITION BY symbol ORDER BY hour DESC)")
+    s.step(r="(close - p1) / nullif(p1, 0)").step(vol=f"100 * sqrt(252.0) * {full('stddev_samp', 'r', 20)}", v5=full("avg", "volume", 5), **{f"ma_{k}": full("avg", "close", k) for k in (5, 10, 20)})
+    return s
+
+
+_INFO = ("price", "open", "high", "low", "volume", "return_1d", "return_5d", "return_20d", "volatility", "ma_5", "ma_10", "ma_20", "volume_ratio", "amplitude")
+
+
+def _info_text(where: str = "true", s: Sql | None = None) -> str:
+    s = s or _info_sql()
+    values = dict(zip(_INFO, ("close", "open", "high", "low", "volume", "100 * r", "100 * (close - p5) / nullif(p5, 0)", "100 * (close - p20) / nullif(p20, 0)", "vol", "ma_5", "ma_10", "ma_20", "volume / nullif(v5, 0)", "100 * (high - low) / close"), strict=True))
+    return f"WITH RECURSIVE {', '.join(s.ctes)} SELECT symbol, {', '.join(r6(v, k) for k, v in values.items())} FROM {s.last} WHERE z = 1 AND {where}"
+
+
+@query(_info_text())
+def selector_info(spark, sf_dir):
+    return out(_selector(spark, sf_dir).info(), ["symbol"], *_INFO)
+
+
+def _screen(name: str, where: str, more: Callable[[Sql], Sql] | None = None, **how) -> None:
+    def run(spark, sf_dir):
+        return out(_selector(spark, sf_dir).filter(**how).info(), ["symbol"], *_INFO)
+
+    run.__name__ = name
+    s = more(_info_sql()) if more else _info_sql()
+    Q[name] = (run, _info_text(where, s))
+
+
+_screen("selector_price_volume", "close >= 800 AND close <= 5000 AND va >= 1", lambda s: s.step(va=full("avg", "volume", 5)), price_min=800, price_max=5000, volume_min=1, volume_avg_days=5)
+_screen("selector_return", "100 * r >= -5 AND 100 * r <= 5", return_min=-5, return_max=5)
+_screen("selector_volatility", "vol >= 1", volatility_min=1)
+_screen("selector_ma", "close > m", lambda s: s.step(m=full("avg", "close", 30)), ma_above=30)
+_screen("selector_ma_below", "close < m", lambda s: s.step(m=full("avg", "close", 30)), ma_below=30)
+_screen("selector_rsi", "CASE WHEN an = 0 THEN 100 ELSE 100 - 100 / (1 + au / an) END BETWEEN 20 AND 80", lambda s: s.step(d=f"coalesce(close - lag(close) OVER {ALL}, 0)").step(u="greatest(d, 0)", n="greatest(-d, 0)").rma("au", "u", 14).rma("an", "n", 14), rsi_min=20, rsi_max=80)
+_screen("selector_macd", "dif > 0", lambda s: s.ema("f", "close", 12).ema("l", "close", 26).step(dif="f - l"), macd="above_zero")
+_screen("selector_limit", "100 * r <= -0.09 AND 100 * r > -0.1", limit_type="near_limit_down", limit_threshold=0.1)
+_screen("selector_volume_change", "volume / nullif(vb, 0) <= 1 / 1.1", lambda s: s.step(vb="avg(volume) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"), volume_change="volume_shrink", volume_multiplier=1.1)
+_screen("selector_consecutive", "run = 2", lambda s: s.step(up="CASE WHEN close > p1 THEN 1 ELSE 0 END").step(run=f"sum(up) OVER {W(2)}"), consecutive="consecutive_up", consecutive_days=2)
+_screen("selector_breakout", "close < lo", lambda s: s.step(lo="min(low) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"), breakout="breakdown_low", breakout_period=3)
+
+
+@query()
+def selector_kdj(spark, sf_dir):
+    return out(_selector(spark, sf_dir).filter(kdj="oversold").info(), ["symbol"], *_INFO)
+
+
+@query(_info_text() + " ORDER BY volatility DESC NULLS LAST, symbol LIMIT 3")
+def selector_sort(spark, sf_dir):
+    """A top-3 report: the limit is the feature."""
+    return out(_selector(spark, sf_dir).sort("volatility", False, 3).info(), ["symbol"], *_INFO)
+
+
+# strategies
+
+
+def _signals(name: str, method: str, buy: str, sell: str, s: Sql | None, **how) -> None:
+    def run(spark, sf_dir):
+        done = getattr(Strategy(("symbol",), ("hour",)), method)(bars(spark, sf_dir), **how)
+        return done.select("symbol", "hour", "buy_signal", "sell_signal")
+
+    run.__name__ = name
+    sql = f"WITH RECURSIVE {', '.join(s.ctes)} SELECT symbol, hour, coalesce({buy}, false) AS buy_signal, coalesce({sell}, false) AS sell_signal FROM {s.last}" if s else None
+    Q[name] = (run, sql)
+
+
+def _crossing(s: Sql, a: str, b: str, n: str = "") -> Sql:
+    s.step(**{f"cd{n}": f"{a} - ({b})"}).step(**{f"cl{n}": f"lag(cd{n}) OVER {ALL}"})
+    return s.step(**{f"up{n}": f"cl{n} <= 0 AND cd{n} > 0", f"dn{n}": f"cl{n} >= 0 AND cd{n} < 0"})
+
+
+def _bands(k: float = 1.0) -> Sql:
+    return Sql().step(m=full("avg", "close", 20), d=full("stddev_pop", "close", 20)).step(hi=f"m + {k} * d", lo=f"m - {k} * d")
+
+
+_signals("strategy_ma", "ma", "up", "dn", _crossing(Sql().step(a=full("avg", "close", 5), z=full("avg", "close", 15)), "a", "z"), fast_period=5, slow_period=15)
+_signals("strategy_ma_filtered", "ma", f"up AND close > tr AND z > lag(z) OVER {ALL} AND abs(close - z) * 100 >= 0.05e0 * z", "dn", _crossing(Sql().ema("a", "close", 5).ema("z", "close", 15).ema("tr", "close", 40), "a", "z"), fast_period=5, slow_period=15, ma_type="ema", trend_period=40, trend_filter=True, slope_filter=True, distance_pct=0.05)
+_signals("strategy_macd", "macd", "up", "dn", _crossing(Sql().ema("f", "close", 12).ema("l", "close", 26).step(dif="f - l").step(d0="coalesce(dif, 0)").ema("sig", "d0", 9), "dif", "sig"))
+_rs = Sql().step(d=f"coalesce(close - lag(close) OVER {ALL}, 0)").step(u="greatest(d, 0)", n="greatest(-d, 0)").rma("au", "u", 14).rma("an", "n", 14).step(rs="CASE WHEN an = 0 THEN 100 ELSE 100 - 100 / (1 + au / an) END")
+_signals("strategy_rsi", "rsi", "up1", "dn2", _crossing(_crossing(_rs, "rs", "40", "1"), "rs", "60", "2"), oversold=40.0, overbought=60.0)
+_signals("strategy_bband", "bband", "up1", "dn2", _crossing(_crossing(_bands(2.0), "close", "lo", "1"), "close", "hi", "2"))
+_signals("strategy_stoch", "stoch", "", "", None)
+_cc = Sql().step(tp="(high + low + close) / 3").step(m=full("avg", "tp", 14), xs=f"list(tp) OVER {W(14)}").step(cc="(tp - m) / nullif(0.015e0 * (list_sum(list_transform(xs, lambda x: abs(x - m))) / 14), 0)")
+_signals("strategy_cci", "cci", "up1", "dn2", _crossing(_crossing(_cc, "cc", "-100", "1"), "cc", "100", "2"))
+_signals("strategy_adx", "adx", "", "", None)
+_prior = lambda f, x, p: f"CASE WHEN count({x}) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN {p} PRECEDING AND 1 PRECEDING) >= {p} THEN {f}({x}) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN {p} PRECEDING AND 1 PRECEDING) END"
+_signals("strategy_breakout", "breakout", "close > hh", "close < ll", Sql().step(hh=_prior("max", "high", 20), ll=_prior("min", "low", 10)))
+_signals("strategy_reversion", "reversion", "(close - m) / nullif(hi - m, 0) <= -2", "(close - m) / nullif(hi - m, 0) >= 0.5", _bands(1.0), exit=0.5)
+_signals("strategy_volume", "volume", "volume > 1.3e0 * v AND close > c1", "volume > 1.3e0 * v AND close < c1", Sql().step(v=_prior("avg", "volume", 20), c1=f"lag(close) OVER {ALL}"), multiplier=1.3)
+_signals("strategy_grid", "grid", "cell < lc", "cell > lc", Sql().step(f0=f"first_value(close) OVER {ALL}").step(cell="floor(ln(close / f0) / ln(1.005e0))").step(lc=f"lag(cell) OVER {ALL}"), grid_pct=0.5)
+_signals("strategy_gap", "gap", "open > ph * (1 + 0.1e0 / 100)", "open < pl * (1 - 0.1e0 / 100)", Sql().step(ph=f"lag(high) OVER {ALL}", pl=f"lag(low) OVER {ALL}"), gap_pct=0.1)
+_signals("strategy_pattern", "pattern", "", "", None)
+_signals("strategy_trend", "trend", f"u AND NOT lag(u) OVER {ALL}", f"w AND NOT lag(w) OVER {ALL}", Sql().step(a=full("avg", "close", 5), m=full("avg", "close", 10), z=full("avg", "close", 20)).step(u="a > m AND m > z", w="a < m AND m < z"))
+
+
+# backtests
+
+
+def _signalled(spark, sf_dir) -> DataFrame:
+    return Strategy(("symbol",), ("hour",)).ma(bars(spark, sf_dir), fast_period=5, slow_period=20)
+
+
+def _simulation() -> Sql:
+    """The state machine as a recursion over rows; trades and wins are running counts."""
+    s = _crossing(Sql().step(a=full("avg", "close", 5), y=full("avg", "close", 20)), "a", "y").step(buy="coalesce(up, false)", sell="coalesce(dn, false)")
+    s.ctes += [
+        f"""bt AS (
+      SELECT symbol, 0::BIGINT AS rn, 0.0::DOUBLE AS pos, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS trades, 0.0::DOUBLE AS wins FROM (SELECT DISTINCT symbol FROM bars)
+      UNION ALL
+      SELECT symbol, rn, CASE WHEN b THEN q WHEN x THEN 0 ELSE pos END,
+        CASE WHEN b THEN cash - (q * paid + greatest(q * paid * 0.0003e0, 5)) WHEN x THEN cash + net ELSE cash END,
+        CASE WHEN b THEN q * close ELSE cost END, trades + CASE WHEN b THEN 1 ELSE 0 END, wins + CASE WHEN x AND net > cost THEN 1 ELSE 0 END
+      FROM (SELECT *, buy AND pos = 0 AND q > 0 AS b, sell AND pos > 0 AS x FROM (
+        SELECT bt.*EXCLUDE (rn), t.rn, t.close, t.buy, t.sell, t.close + 0.1e0 AS paid, floor((cash + pos * t.close) * 0.9e0 / (t.close + 0.1e0)) AS q,
+          pos * (t.close - 0.2e0) - greatest(pos * (t.close - 0.2e0) * 0.0003e0, 5) AS net FROM bt JOIN {s.last} t ON t.symbol = bt.symbol AND t.rn = bt.rn + 1)))""",
+        f"sim AS (SELECT t.*, bt.pos, bt.cash, bt.cash + bt.pos * t.close AS equity, bt.trades, bt.wins FROM {s.last} t JOIN bt USING (symbol, rn))",
+    ]
+    s.last = "sim"
+    return s
+
+
+def _vectorized(spark, sf_dir, benchmark=None):
+    return VectorizedBacktester(_signalled(spark, sf_dir), "close", benchmark=benchmark, buy_slippage=0.1, sell_slippage=0.2, position_size=0.9, order=("hour",)).run()
+
+
+@query(_simulation().text(position="pos", cash="cash", equity="equity"))
+def backtest_vectorized(spark, sf_dir):
+    r = _vectorized(spark, sf_dir)
+    return out(r.capital.join(r.positions, ["symbol", "hour"]), ["symbol", "hour"], "position", "cash", "equity")
+
+
+def _metrics_sql() -> str:
+    s = _simulation().step(prev=f"coalesce(lag(equity) OVER {ALL}, 100000.0::DOUBLE)", pb=f"coalesce(lag(open) OVER {ALL}, open)", peak=f"greatest(100000.0::DOUBLE, max(equity) OVER {ALL})")
+    s.step(r="(equity - prev) / prev", rb="(open - pb) / pb", dd="(peak - equity) / peak")
+    s.ctes.append(f"agg AS (SELECT symbol, count(*)::DOUBLE AS n, arg_max(equity, hour) AS e1, greatest(0, max(dd)) AS max_drawdown, var_samp(r) AS v, var_samp(rb) AS vb, covar_samp(r, rb) AS cv, arg_min(open, hour) AS b0, arg_max(open, hour) AS b1, max(trades) AS t, max(wins) AS w FROM {s.last} GROUP BY symbol)")
+    s.ctes.append("ann AS (SELECT *, power(e1 / 100000.0::DOUBLE, 252 / n) - 1 AS ar, power(b1 / b0, 252 / n) - 1 AS br, cv / vb AS beta FROM agg)")
+    values = {"annualized_return": "ar", "max_drawdown": "max_drawdown", "alpha": "ar - (0.03e0 + beta * (br - 0.03e0))", "beta": "beta", "sharpe_ratio": "(ar - 0.03e0) / (sqrt(v) * sqrt(252.0e0))", "max_profit": "greatest(e1 / 100000.0::DOUBLE - 1, 0)", "win_rate": "CASE WHEN t > 0 THEN w / t ELSE 0 END", "total_trades": "t"}
+    return f"WITH RECURSIVE {', '.join(s.ctes)} SELECT symbol, {', '.join(r6(v, k) for k, v in values.items())} FROM ann"
+
+
+@query(_metrics_sql())
+def backtest_metrics(spark, sf_dir):
+    return out(_vectorized(spark, sf_dir, "open").metrics, ["symbol"], "annualized_return", "max_drawdown", "alpha", "beta", "sharpe_ratio", "max_profit", "win_rate", "total_trades")
+
+
+def _orders(spark, sf_dir) -> tuple[DataFrame, int]:
+    """An order log of one scenario per event type: on each crossing of the averages 10 shares are bought or sold."""
+    from pyspark.sql import Window
+
+    rows = _signalled(spark, sf_dir).withColumn("period", F.row_number().over(Window.partitionBy("symbol").orderBy("hour")).cast("long") - 1)
+    log = rows.where("buy_signal OR sell_signal").select(F.col("symbol").alias("scenario"), "period", F.lit(0).cast("long").alias("seq"), F.lit("A").alias("asset"), F.when(F.col("buy_signal"), 10.0).otherwise(-10.0).alias("quantity"), F.col("close").alias("price"))
+    return log, 600
+
+
+def _sequential_sql() -> str:
+    s = _crossing(Sql().step(a=full("avg", "close", 5), y=full("avg", "close", 20)), "a", "y").step(q="CASE WHEN coalesce(up, false) THEN 10.0 WHEN coalesce(dn, false) THEN -10.0 ELSE 0.0 END")
+    s.ctes += [
+        f"""sq AS (
+      SELECT symbol, 0::BIGINT AS rn, 100000.0::DOUBLE AS cash, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS board FROM (SELECT DISTINCT symbol FROM bars)
+      UNION ALL
+      SELECT symbol, rn, CASE WHEN b THEN cash - val - greatest(val * 0.0003e0, 5) WHEN x THEN cash + val - greatest(val * 0.0003e0, 5) ELSE cash END,
+        CASE WHEN b OR x THEN pos + q ELSE pos END, CASE WHEN q != 0 THEN close ELSE board END
+      FROM (SELECT *, q > 0 AND cash >= val + greatest(val * 0.0003e0, 5) AS b, q < 0 AND pos >= -q AS x FROM (
+        SELECT sq.symbol, t.rn, sq.cash, sq.pos, sq.board, t.q, t.close, abs(t.q) * t.close AS val FROM sq JOIN {s.last} t ON t.symbol = sq.symbol AND t.rn = sq.rn + 1)))""",
+    ]
+    return f"WITH RECURSIVE {', '.join(s.ctes)} SELECT symbol AS scenario, (rn - 1)::BIGINT AS period, {r6('cash', 'cash')}, {r6('cash + pos * board', 'equity')} FROM sq WHERE rn BETWEEN 1 AND 600 AND symbol IN (SELECT symbol FROM {s.last} WHERE q != 0) UNION ALL SELECT symbol, p, {r6('cash', 'cash')}, {r6('cash + pos * board', 'equity')} FROM (SELECT symbol, max(rn) AS m FROM sq GROUP BY symbol) JOIN sq USING (symbol), unnest(range(0, 600)) AS u(p) WHERE sq.rn = m AND m < 600 AND p >= m AND symbol IN (SELECT symbol FROM {s.last} WHERE q != 0)"
+
+
+@query(_sequential_sql())
+def backtest_sequential(spark, sf_dir):
+    log, periods = _orders(spark, sf_dir)
+    return out(SequentialBacktester(periods).run_orders(log.where(F.col("period") < periods), ("scenario",)).capital, ["scenario", "period"], "cash", "equity")
+
+
+def _lots(spark, sf_dir) -> Backtest:
+    rows = _signalled(spark, sf_dir).select(F.col("hour").alias("date"), "symbol", F.col("close").alias("price"), F.col("buy_signal").alias("buy"), F.col("sell_signal").alias("sell"))
+    return Backtest.of_bars(rows, slippage=0.001, initial_capital=1_000_000.0)
+
+
+@query()
+def backtest_daily_records(spark, sf_dir):
+    return out(_lots(spark, sf_dir).get_daily_records(), ["symbol", "date"], "cash", "stock_value", "total_value")
+
+
+@query()
+def backtest_position_records(spark, sf_dir):
+    return out(_lots(spark, sf_dir).get_position_records(), ["symbol", "entry_date", "exit_date"], "entry_price", "quantity", "exit_price", "pnl", "pnl_pct")
+
+
+@query()
+def backtest_performance(spark, sf_dir):
+    return out(_lots(spark, sf_dir).get_performance_metrics(), ["date"], "portfolio_value", "daily_pnl", "daily_return_pct", "cumulative_pnl", "cumulative_return_pct")
+
+
+@query()
+def backtest_statistics(spark, sf_dir):
+    return out(_lots(spark, sf_dir).statistics(), [], "total_return", "annualized_return", "max_drawdown", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "trades", "win_rate", "total_fees")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+    return {name: f for name, (f, _) in Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in Q.items() if sql}
