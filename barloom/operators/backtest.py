@@ -26,7 +26,8 @@ class Result:
 
 def simulate(price: np.ndarray, buy: np.ndarray, sell: np.ndarray, capital: float, buy_slippage: float, sell_slippage: float, buy_rate: float, sell_rate: float, least_fee: float, size: float) -> tuple[np.ndarray, ...]:
     """(position, cash, equity, trades, wins) after each row. Long only, one position at a time; a buy may take the cash
-    below zero by its commission; a missing or non-positive price leaves the state as it is."""
+    below zero by its commission; a missing or non-positive price leaves the state
+    as it is (equity is null for a missing one)."""
     n = len(price)
     out = tuple(np.empty(n) for _ in range(5))
     held, cash, cost, trades, wins = 0.0, capital, 0.0, 0, 0

@@ -11,15 +11,16 @@ RISK_FREE = 0.03
 
 def summary(curve: DataFrame, keys: list[str], order: list[str], initial_capital: float, equity: str = "equity", benchmark: str | None = None, trades: str | None = None, wins: str | None = None) -> DataFrame:
     """One row for each series: annualized_return, max_drawdown, alpha, beta, sharpe_ratio, max_profit, win_rate,
-    total_trades. trades and wins are running counts. alpha and beta are 0 unless every row has a benchmark value."""
+    total_trades. A row without equity (no price that day) makes no return. trades and wins are running counts. alpha and beta are 0 unless every row has a benchmark value."""
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     e, start = F.col(equity), F.lit(float(initial_capital))
     b = F.col(benchmark).cast("double") if benchmark else F.lit(None).cast("double")
-    last, last_b = F.coalesce(F.lag(e).over(w), start), F.coalesce(F.lag(b).over(w), b)
+    first = F.row_number().over(w) == 1
+    last, last_b = F.when(first, start).otherwise(F.lag(e).over(w)), F.when(first, b).otherwise(F.lag(b).over(w))
     rows = curve.select(
         *keys, *(F.col(c).alias(f"__o{n}") for n, c in enumerate(order)), e.alias("__e"), b.alias("__b"),
-        F.greatest(start, F.max(e).over(upto)).alias("__peak"), F.when(last > 0, (e - last) / last).otherwise(0.0).alias("__r"),
+        F.greatest(start, F.max(e).over(upto)).alias("__peak"), F.coalesce(F.when(last > 0, (e - last) / last), F.lit(0.0)).alias("__r"),
         F.when(last_b > 0, (b - last_b) / last_b).otherwise(F.when(b.isNotNull(), 0.0)).alias("__rb"),
         (F.col(trades) if trades else F.lit(0.0)).cast("double").alias("__t"), (F.col(wins) if wins else F.lit(0.0)).cast("double").alias("__w"),
     )
