@@ -41,6 +41,17 @@ def full(agg: str, x: str, p: int) -> str:
     return f"CASE WHEN count({x}) OVER {W(p)} >= {p} THEN {agg}({x}) OVER {W(p)} END"
 
 
+def skipping(x: str, p: int) -> str:
+    """Average of the last p non-null values."""
+    w = f"(PARTITION BY symbol, {x} IS NULL ORDER BY hour ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER {w} >= {p} THEN avg({x}) OVER {w} END"
+
+
+def lagged() -> dict[str, str]:
+    """Prices of this bar and four before it, as candles.expression() asks for them."""
+    return {f"{k}{n}_": x if n == 0 else f"lag({x}, {n}) OVER {ALL}" for k, x in zip("ohlc", OHLC, strict=True) for n in range(5)}
+
+
 #: Six digits, the same in both engines on ties, without negative zeros.
 SIX = "floor(({})::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
@@ -94,7 +105,7 @@ def _ema_chain(x: str, p: int, n: int) -> Sql:
     return s
 
 
-def _dm(p: int) -> Sql:
+def directional(p: int) -> Sql:
     s = Sql().step(ph=f"lag(high) OVER {ALL}", pl=f"lag(low) OVER {ALL}", pc=f"lag(close) OVER {ALL}")
     s.step(up="coalesce(high - ph, 0)", down="coalesce(pl - low, 0)", tr="coalesce(greatest(high - low, abs(high - pc), abs(low - pc)), 0)")
     s.step(pdm="CASE WHEN up > down AND up > 0 THEN up ELSE 0 END", mdm="CASE WHEN down > up AND down > 0 THEN down ELSE 0 END")
@@ -195,8 +206,8 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     add("sar", I.SAR("high", "low"), _sar(0.02, 0.2))
     add("sarext", I.SAREXT("high", "low"), _sar(0.02, 0.2).replace("((out)::DOUBLE", "((CASE WHEN is_long THEN out ELSE -out END)::DOUBLE").replace(" AS sar FROM", " AS sarext FROM"))
 
-    add("adx", I.ADX(*HLC), _dm(14).step(d0="coalesce(dx, 0)").rma("a", "d0", 14).text(adx="a"))
-    add("adxr", I.ADXR(*HLC), _dm(14).step(d0="coalesce(dx, 0)").rma("a", "d0", 14).text(adxr=f"(a + lag(a, 13) OVER {ALL}) * 0.5"))
+    add("adx", I.ADX(*HLC), directional(14).step(d0="coalesce(dx, 0)").rma("a", "d0", 14).text(adx="a"))
+    add("adxr", I.ADXR(*HLC), directional(14).step(d0="coalesce(dx, 0)").rma("a", "d0", 14).text(adxr=f"(a + lag(a, 13) OVER {ALL}) * 0.5"))
     add("apo", I.APO(C), Sql().text(apo=f"{full('avg', C, 12)} - {full('avg', C, 26)}"))
     add("aroon", I.AROON("high", "low"), _aroon(14).text(aroon_up="up", aroon_down="down"))
     add("aroonosc", I.AROONOSC("high", "low"), _aroon(14).text(aroonosc="up - down"))
@@ -205,7 +216,7 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     add("cci", I.CCI(*HLC), cci.text(cci="(tp - m) / nullif(0.015e0 * dev, 0)"))
     cmo = Sql().step(d=f"coalesce(close - lag(close) OVER {ALL}, 0)").step(u=full("sum", "greatest(d, 0)", 14), n=full("sum", "greatest(-d, 0)", 14))
     add("cmo", I.CMO(C), cmo.text(cmo="CASE WHEN u + n = 0 THEN 0 ELSE 100 * (u - n) / (u + n) END"))
-    add("dx", I.DX(*HLC), _dm(14).text(dx="dx"))
+    add("dx", I.DX(*HLC), directional(14).text(dx="dx"))
     add("macd", I.MACD(C), _macd(12, 26, 9))
     ext = Sql().step(dif=f"{full('avg', C, 12)} - {full('avg', C, 26)}").step(dea=full("avg", "dif", 9))
     add("macdext", I.MACDEXT(C), ext.text(macd_dif="dif", macd_dea="dea", macd_hist="dif - dea"))
@@ -213,11 +224,11 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     mfi = Sql().step(tp="(high + low + close) / 3").step(mv=f"tp - lag(tp) OVER {ALL}").step(a="CASE WHEN mv IS NOT NULL THEN CASE WHEN mv > 0 THEN tp * volume ELSE 0 END END", z="CASE WHEN mv IS NOT NULL THEN CASE WHEN mv < 0 THEN tp * volume ELSE 0 END END")
     mfi.step(up=full("sum", "a", 14), down=full("sum", "z", 14))
     add("mfi", I.MFI(*HLC, "volume"), mfi.text(mfi="CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END"))
-    add("minus_di", I.MINUS_DI(*HLC), _dm(14).text(minus_di="mdi"))
-    add("minus_dm", I.MINUS_DM("high", "low"), _dm(14).text(minus_dm="sm"))
+    add("minus_di", I.MINUS_DI(*HLC), directional(14).text(minus_di="mdi"))
+    add("minus_dm", I.MINUS_DM("high", "low"), directional(14).text(minus_dm="sm"))
     add("mom", I.MOM(C), Sql().text(mom=f"close - lag(close, 10) OVER {ALL}"))
-    add("plus_di", I.PLUS_DI(*HLC), _dm(14).text(plus_di="pdi"))
-    add("plus_dm", I.PLUS_DM("high", "low"), _dm(14).text(plus_dm="sp"))
+    add("plus_di", I.PLUS_DI(*HLC), directional(14).text(plus_di="pdi"))
+    add("plus_dm", I.PLUS_DM("high", "low"), directional(14).text(plus_dm="sp"))
     add("ppo", I.PPO(C), Sql().step(f=full("avg", C, 12), l=full("avg", C, 26)).text(ppo="100 * (f - l) / nullif(l, 0)"))
     y = f"nullif(lag(close, 10) OVER {ALL}, 0)"
     add("roc", I.ROC(C), Sql().text(roc=f"(close - {y}) / {y} * 100"))
@@ -253,10 +264,6 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     add("obv", I.OBV(C, "volume"), Sql().step(d=f"close - lag(close) OVER {ALL}").text(obv=f"CASE WHEN d IS NOT NULL THEN sum(sign(d) * volume) OVER {ALL} END"))
 
     # stochastics skip the rows without a range
-    def skipping(x: str, p: int) -> str:
-        w = f"(PARTITION BY symbol, {x} IS NULL ORDER BY hour ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)"
-        return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER {w} >= {p} THEN avg({x}) OVER {w} END"
-
     q["stoch"] = (q["stoch"][0], _stochk(Sql(), *HLC, 5).step(k=skipping("fastk", 3)).text(slowk="k", slowd=skipping("k", 3)))
     q["stochf"] = (q["stochf"][0], _stochk(Sql(), *HLC, 5).text(fastk="fastk", fastd=skipping("fastk", 3)))
     q["stochrsi"] = (q["stochrsi"][0], _stochk(_rsi(14), "rsi", "rsi", "rsi", 5).text(fastk="fastk", fastd=skipping("fastk", 3)))

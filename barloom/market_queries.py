@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import candles
 from .functions import indicators as I
-from .indicator_queries import ALL, SIX, Sql, W, full, six
+from .indicator_queries import ALL, OHLC, SIX, Sql, W, directional, full, lagged, six, skipping
 from .operators.backtest import Backtest, SequentialBacktester, VectorizedBacktester
 from .operators.factor import Factor
-from .operators.selector import Selector
+from .operators.selector import Selector, kdj_lines
 from .operators.statistics import clean, linear, returns
 from .operators.strategy import Strategy
 from .plans import indicate
@@ -375,9 +376,26 @@ _screen("selector_consecutive", "run = 2", lambda s: s.step(up="CASE WHEN close
 _screen("selector_breakout", "close < lo", lambda s: s.step(lo="min(low) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"), breakout="breakdown_low", breakout_period=3)
 
 
-@query()
-def selector_kdj(spark, sf_dir):
-    return out(_selector(spark, sf_dir).filter(kdj="oversold").info(), ["symbol"], *_INFO)
+def _kdj(s: Sql) -> Sql:
+    """K and D as a recursion over the bars that have a range."""
+    s.step(top=full("max", "high", 9), bottom=full("min", "low", 9)).step(rsv="(close - bottom) * 100 / nullif(top - bottom, 0)")
+    s.ctes += [
+        f"q0 AS (SELECT symbol, rn, rsv, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS j FROM {s.last} WHERE rsv IS NOT NULL)",
+        "qr AS (SELECT symbol, 0::BIGINT AS j, 50.0::DOUBLE AS k, 50.0::DOUBLE AS d FROM (SELECT DISTINCT symbol FROM bars) UNION ALL SELECT r.symbol, r.j + 1, (2 * r.k + q.rsv) / 3, (2 * r.d + (2 * r.k + q.rsv) / 3) / 3 FROM qr r JOIN q0 q ON q.symbol = r.symbol AND q.j = r.j + 1)",
+        f"qs AS (SELECT t.*, y.k, y.d FROM {s.last} t LEFT JOIN (SELECT q0.symbol, q0.rn, qr.k, qr.d FROM q0 JOIN qr USING (symbol, j)) y USING (symbol, rn))",
+    ]
+    s.last = "qs"
+    return s
+
+
+@query(_kdj(Sql()).text(k="k", d="d"))
+def kdj(spark, sf_dir):
+    rows = indicate(bars(spark, sf_dir), ["symbol"], ["hour"], m=kdj_lines(9))
+    return out(rows.select("symbol", "hour", "m.k", "m.d"), ["symbol", "hour"], "k", "d")
+
+
+_screen("selector_kdj", "k < 20 AND d < 20", _kdj, kdj="oversold")
+_screen("selector_kdj_cross", "lag_k <= 0 AND k - d > 0", lambda s: _kdj(s).step(lag_k=f"lag(k - d) OVER {ALL}"), kdj="golden_cross")
 
 
 @query(_info_text() + " ORDER BY volatility DESC NULLS LAST, symbol LIMIT 3")
@@ -414,17 +432,20 @@ _signals("strategy_macd", "macd", "up", "dn", _crossing(Sql().ema("f", "close",
 _rs = Sql().step(d=f"coalesce(close - lag(close) OVER {ALL}, 0)").step(u="greatest(d, 0)", n="greatest(-d, 0)").rma("au", "u", 14).rma("an", "n", 14).step(rs="CASE WHEN an = 0 THEN 100 ELSE 100 - 100 / (1 + au / an) END")
 _signals("strategy_rsi", "rsi", "up1", "dn2", _crossing(_crossing(_rs, "rs", "40", "1"), "rs", "60", "2"), oversold=40.0, overbought=60.0)
 _signals("strategy_bband", "bband", "up1", "dn2", _crossing(_crossing(_bands(2.0), "close", "lo", "1"), "close", "hi", "2"))
-_signals("strategy_stoch", "stoch", "", "", None)
+_st = Sql().step(top=full("max", "high", 9), bottom=full("min", "low", 9)).step(fk="(close - bottom) * 100 / nullif(top - bottom, 0)").step(k=skipping("fk", 3)).step(d=skipping("k", 3))
+_signals("strategy_stoch", "stoch", "up AND d < 20", "dn AND d > 80", _crossing(_st, "k", "d"))
 _cc = Sql().step(tp="(high + low + close) / 3").step(m=full("avg", "tp", 14), xs=f"list(tp) OVER {W(14)}").step(cc="(tp - m) / nullif(0.015e0 * (list_sum(list_transform(xs, lambda x: abs(x - m))) / 14), 0)")
 _signals("strategy_cci", "cci", "up1", "dn2", _crossing(_crossing(_cc, "cc", "-100", "1"), "cc", "100", "2"))
-_signals("strategy_adx", "adx", "", "", None)
+_signals("strategy_adx", "adx", "up1 AND a > 25", "dn1 AND a > 25", _crossing(directional(14).step(d0="coalesce(dx, 0)").rma("a", "d0", 14), "pdi", "mdi", "1"))
 _prior = lambda f, x, p: f"CASE WHEN count({x}) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN {p} PRECEDING AND 1 PRECEDING) >= {p} THEN {f}({x}) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN {p} PRECEDING AND 1 PRECEDING) END"
 _signals("strategy_breakout", "breakout", "close > hh", "close < ll", Sql().step(hh=_prior("max", "high", 20), ll=_prior("min", "low", 10)))
 _signals("strategy_reversion", "reversion", "(close - m) / nullif(hi - m, 0) <= -2", "(close - m) / nullif(hi - m, 0) >= 0.5", _bands(1.0), exit=0.5)
 _signals("strategy_volume", "volume", "volume > 1.3e0 * v AND close > c1", "volume > 1.3e0 * v AND close < c1", Sql().step(v=_prior("avg", "volume", 20), c1=f"lag(close) OVER {ALL}"), multiplier=1.3)
 _signals("strategy_grid", "grid", "cell < lc", "cell > lc", Sql().step(f0=f"first_value(close) OVER {ALL}").step(cell="floor(ln(close / f0) / ln(1.005e0))").step(lc=f"lag(cell) OVER {ALL}"), grid_pct=0.5)
 _signals("strategy_gap", "gap", "open > ph * (1 + 0.1e0 / 100)", "open < pl * (1 - 0.1e0 / 100)", Sql().step(ph=f"lag(high) OVER {ALL}", pl=f"lag(low) OVER {ALL}"), gap_pct=0.1)
-_signals("strategy_pattern", "pattern", "", "", None)
+_SHAPES = ("CDLENGULFING", "CDLHAMMER", "CDLMORNINGSTAR", "CDLSHOOTINGSTAR", "CDLEVENINGSTAR", "CDLHARAMI")
+_shaped = lambda v: "(" + " OR ".join(f"{n} = {v}" for n in _SHAPES) + ")"
+_signals("strategy_pattern", "pattern", _shaped(100), _shaped(-100), Sql().step(**lagged()).step(**{n: candles.expression(n, lambda k, n: f"{k}{n}_") for n in _SHAPES}))
 _signals("strategy_trend", "trend", f"u AND NOT lag(u) OVER {ALL}", f"w AND NOT lag(w) OVER {ALL}", Sql().step(a=full("avg", "close", 5), m=full("avg", "close", 10), z=full("avg", "close", 20)).step(u="a > m AND m > z", w="a < m AND m < z"))
 
 
@@ -512,24 +533,62 @@ def _lots(spark, sf_dir) -> Backtest:
     return Backtest.of_bars(rows, slippage=0.001, initial_capital=1_000_000.0)
 
 
-@query()
+#: Money to four digits: sums of large amounts differ in their last bits by the order of rows.
+FOUR = "floor(({})::DOUBLE * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
+
+
+def money(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    return df.select(*keys, *((F.floor(F.col(v).cast("double") * 1e4 + 0.5).cast("double") / 1e4).alias(v) for v in values))
+
+
+def _lots_sql(select: str, more: str = "") -> str:
+    """The lots of 100 as a recursion over rows, without borrowing; a fee is less than 100 shares, so one lot less pays it."""
+    s = _crossing(Sql().step(a=full("avg", "close", 5), y=full("avg", "close", 20)), "a", "y").step(buy="coalesce(up, false)", sell="coalesce(dn, false)", bf="close * 1.001e0", sf="close * 0.999e0")
+    s.ctes += [
+        f"""lt AS (
+      SELECT symbol, 0::BIGINT AS rn, 1000000.0::DOUBLE AS cash, 0.0::DOUBLE AS held, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS paid, 0.0::DOUBLE AS side, 0.0::DOUBLE AS fill, 0.0::DOUBLE AS fee, 0.0::DOUBLE AS pnl FROM (SELECT DISTINCT symbol FROM bars)
+      UNION ALL
+      SELECT symbol, rn, CASE WHEN b THEN cash - (q * bf + bfee) WHEN x THEN cash + (held * sf - sfee) ELSE cash END, CASE WHEN b THEN q WHEN x THEN 0 ELSE held END, CASE WHEN b THEN bf ELSE entry END, CASE WHEN b THEN bfee ELSE paid END,
+        CASE WHEN b THEN 1 WHEN x THEN -held ELSE 0 END, CASE WHEN b THEN bf WHEN x THEN sf ELSE 0 END, CASE WHEN b THEN bfee WHEN x THEN sfee ELSE 0 END, CASE WHEN x THEN held * (sf - entry) - sfee - paid ELSE 0 END
+      FROM (SELECT *, buy AND NOT sell AND held = 0 AND q > 0 AS b, sell AND held > 0 AS x, greatest(q * bf * 0.0003e0, 5) AS bfee, greatest(held * sf * 0.0003e0, 5) AS sfee FROM (
+        SELECT *, CASE WHEN q0 * bf + greatest(q0 * bf * 0.0003e0, 5) > cash THEN q0 - 100 ELSE q0 END AS q FROM (
+          SELECT lt.*EXCLUDE (rn), t.rn, t.buy, t.sell, t.bf, t.sf, floor(cash / t.bf / 100) * 100 AS q0 FROM lt JOIN {s.last} t ON t.symbol = lt.symbol AND t.rn = lt.rn + 1))))""",
+        f"dr AS (SELECT t.symbol, t.hour AS date, lt.*EXCLUDE (symbol, rn), lt.held * t.close AS stock_value, lt.cash + lt.held * t.close AS total_value FROM {s.last} t JOIN lt USING (symbol, rn))",
+    ]
+    return f"WITH RECURSIVE {', '.join(s.ctes)}{more} {select}"
+
+
+def _four(**values: str) -> str:
+    return ", ".join(f"{FOUR.format(v)} AS {k}" for k, v in values.items())
+
+
+@query(_lots_sql(f"SELECT symbol, date, {_four(cash='cash', stock_value='stock_value', total_value='total_value')} FROM dr"))
 def backtest_daily_records(spark, sf_dir):
-    return out(_lots(spark, sf_dir).get_daily_records(), ["symbol", "date"], "cash", "stock_value", "total_value")
+    return money(_lots(spark, sf_dir).get_daily_records(), ["symbol", "date"], "cash", "stock_value", "total_value")
 
 
-@query()
+@query(_lots_sql(f"SELECT symbol, entry_date, date AS exit_date, {_four(entry_price='entry', quantity='-side', exit_price='fill', pnl='pnl', pnl_pct='100 * pnl / (entry * -side)')} FROM (SELECT *, max(CASE WHEN side > 0 THEN date END) OVER (PARTITION BY symbol ORDER BY date) AS entry_date FROM dr) WHERE side < 0"))
 def backtest_position_records(spark, sf_dir):
-    return out(_lots(spark, sf_dir).get_position_records(), ["symbol", "entry_date", "exit_date"], "entry_price", "quantity", "exit_price", "pnl", "pnl_pct")
+    return money(_lots(spark, sf_dir).get_position_records(), ["symbol", "entry_date", "exit_date"], "entry_price", "quantity", "exit_price", "pnl", "pnl_pct")
 
 
-@query()
+_BY_DATE = """, pd AS (SELECT date, sum(total_value) AS v, 1000000.0::DOUBLE * count(*) AS start, sum(fee) AS fee FROM dr GROUP BY date), pl AS (SELECT *, coalesce(lag(v) OVER (ORDER BY date), start) AS last FROM pd)"""
+
+
+@query(_lots_sql(f"SELECT date, {_four(portfolio_value='v', daily_pnl='v - last', daily_return_pct='100 * (v - last) / last', cumulative_pnl='v - start', cumulative_return_pct='100 * (v - start) / start')} FROM pl", _BY_DATE))
 def backtest_performance(spark, sf_dir):
-    return out(_lots(spark, sf_dir).get_performance_metrics(), ["date"], "portfolio_value", "daily_pnl", "daily_return_pct", "cumulative_pnl", "cumulative_return_pct")
+    return money(_lots(spark, sf_dir).get_performance_metrics(), ["date"], "portfolio_value", "daily_pnl", "daily_return_pct", "cumulative_pnl", "cumulative_return_pct")
 
 
-@query()
+_YEAR = _BY_DATE + """, pr AS (SELECT *, (v - last) / last AS r, 1 - v / greatest(start, max(v) OVER (ORDER BY date)) AS dd FROM pl),
+dy AS (SELECT arg_max(v, date) / max(start) AS growth, count(*) AS n, max(dd) AS dd, stddev_samp(r) * sqrt(252.0e0) AS vol, sqrt(avg(least(r, 0) * least(r, 0))) * sqrt(252.0e0) AS down, sum(fee) AS fees FROM pr),
+tr AS (SELECT count(*) AS trades, count(CASE WHEN pnl > 0 THEN 1 END) AS wins FROM dr WHERE side < 0),
+yr AS (SELECT *, power(growth, 252.0e0 / n) - 1 AS annual FROM dy, tr)"""
+
+
+@query(_lots_sql(f"SELECT {_four(total_return='growth - 1', annualized_return='annual', max_drawdown='dd', sharpe_ratio='(annual - 0.03e0) / vol', sortino_ratio='(annual - 0.03e0) / down', calmar_ratio='annual / dd', trades='trades', win_rate='wins / trades', total_fees='fees')} FROM yr", _YEAR))
 def backtest_statistics(spark, sf_dir):
-    return out(_lots(spark, sf_dir).statistics(), [], "total_return", "annualized_return", "max_drawdown", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "trades", "win_rate", "total_fees")
+    return money(_lots(spark, sf_dir).statistics(), [], "total_return", "annualized_return", "max_drawdown", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "trades", "win_rate", "total_fees")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

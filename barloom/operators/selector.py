@@ -75,7 +75,7 @@ class Selector:
             m = feature(f"macd{macd_fast}_{macd_slow}_{macd_signal}", _crossing(I.MACD("close", macd_fast, macd_slow, macd_signal), "macd", "macd_signal"))
             c.append(_pick(macd, {"golden_cross": m["up"] == 1, "death_cross": m["down"] == 1, "above_zero": m["a"] > 0, "below_zero": m["a"] < 0}))
         if kdj:
-            m = feature(f"kdj{kdj_period}", _crossing(_kdj(kdj_period), "k", "d"))
+            m = feature(f"kdj{kdj_period}", _crossing(kdj_lines(kdj_period), "k", "d"))
             c.append(_pick(kdj, {"golden_cross": m["up"] == 1, "death_cross": m["down"] == 1, "oversold": (m["a"] < 20) & (m["b"] < 20), "overbought": (m["a"] > 80) & (m["b"] > 80)}))
         if limit_type:
             r, near = feature("ret1", I.ROC("close", 1)), 0.9 * limit_threshold
@@ -159,7 +159,7 @@ def _run(up: bool, days: int) -> Indicator:
     return Native(stages)
 
 
-def _kdj(period: int) -> Fold:
+def kdj_lines(period: int) -> Fold:
     return Fold([number("high"), number("low"), number("close")], lambda h, l, c: kdj(h, l, c, period), ("k", "d"))
 
 

@@ -1,0 +1,5 @@
+"""Structured Streaming forms."""
+
+from .streams import stream_bars, stream_ema
+
+__all__ = ["stream_bars", "stream_ema"]
