@@ -9,6 +9,10 @@ the one wide exchange carries hashes only and is pre-aggregated by (host, line).
 themselves are not shuffled while the table of arrays is small (it is counted first); beyond that it is joined by host,
 where adaptive skew handling splits a hot host, as pages are not grouped afterwards.
 
+Copies. Where exact copies have not been dropped before, `copies_once` counts a host's pages of equal text as one page:
+else a text with copies on over `max_ratio` of a host's pages would lose all its lines, in every copy. Each line then
+carries a 64-bit hash of its page, and distinct (host, line, page) are counted, which spreads a common line over tasks.
+
 Defined cases: null text is empty; a null host is the empty host; white space around a line is ignored when lines are
 compared, and blank lines neither count nor go; every row counts as a page, repeated ids included; a text that loses
 nothing comes back byte for byte, null included; an empty table gives an empty result; all other columns are kept.
@@ -33,22 +37,27 @@ def _hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, max_ratio: float, min_pages: int) -> DataFrame:
-    """(host, lines: array of hash pairs) of the lines above the ratio."""
-    named = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), lines.alias("lines"))
-    seen = named.select("host", F.explode(F.array_distinct(F.transform("lines", _key))).alias("key")).where("key != ''")
-    counts = seen.select("host", _hashes(F.col("key")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    totals = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+def boilerplate(pages: DataFrame, host: Column, lines: Column, max_ratio: float, min_pages: int, page: Column | None = None) -> DataFrame:
+    """(host, lines: array of hash pairs) of the lines above the ratio. Pages with one value of `page` count as one."""
+    one = [] if page is None else ["page"]
+    named = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), lines.alias("lines"), *([] if page is None else [page.alias("page")]))
+    seen = named.select("host", *one, F.explode(F.array_distinct(F.transform("lines", _key))).alias("key")).where("key != ''")
+    lined, paged = seen.select("host", *one, _hashes(F.col("key")).alias("line")), named.select("host", *one)
+    if page is not None:
+        lined, paged = lined.distinct(), paged.distinct()
+    counts = lined.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    totals = paged.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     over = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
-def line_dedup(pages: DataFrame, text: str = "text", host: Column | str = "source", lines: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, text: str = "text", host: Column | str = "source", lines: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """pages with `text` cleaned, and columns __lines (before) and __dropped (numbers of lines) appended. `lines` may
     give another way to part a page into lines; they are joined by newlines again."""
     host = F.col(host) if isinstance(host, str) else host
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n") if lines is None else lines
-    found = cut(boilerplate(pages, host, lines, max_ratio, min_pages)).select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
+    page = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if copies_once else None
+    found = cut(boilerplate(pages, host, lines, max_ratio, min_pages, page)).select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
     rows = pages.withColumns({"__host": F.coalesce(host.cast("string"), F.lit("")), "__all": lines}).join(small(found, 20_000), "__host", "left")
     keep = F.filter("__all", lambda x: (_key(x) == "") | ~F.array_contains(F.col("__drop"), _hashes(_key(x))))
     rows = rows.withColumn("__keep", F.when(F.col("__drop").isNull(), F.col("__all")).otherwise(keep))

@@ -1,6 +1,7 @@
 """A corpus from raw documents to packed sequences: each stage is written as Parquet and read again by the next.
 
-toxicity drops the documents that the factorization machine marks; line dedup drops boilerplate lines of a source;
+toxicity drops the documents that the factorization machine marks; line dedup drops boilerplate lines of a source, of
+which copies of one text are one page, as they are not dropped yet;
 SimHash near-dedup keeps one document of each group; mixing takes documents, up to twice, to the sources' targets;
 best-fit packing gives the pieces of the training sequences.
 """
@@ -21,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.line_dedup(docs, "text", "source")
+    done = line_dedup.line_dedup(docs, "text", "source", copies_once=True)
     shorter = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", shorter).select(*docs.columns)
 

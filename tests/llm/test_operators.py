@@ -126,9 +126,9 @@ def test_keep_one(spark):
 # lines
 
 
-def lines_by_hand(rows, max_ratio, min_pages):
+def lines_by_hand(rows, max_ratio, min_pages, copies_once=False):
     pages, counts = Counter(), Counter()
-    for host, text in rows:
+    for host, text in {(host or "", text or "") for host, text in rows} if copies_once else rows:
         pages[host or ""] += 1
         counts.update({(host or "", x.strip(" \t\n\x0b\x0c\r")) for x in (text or "").split("\n")})
     bad = {k for k, n in counts.items() if k[1] and n >= min_pages and n > max_ratio * pages[k[0]]}
@@ -141,7 +141,17 @@ def test_lines(spark, docs):
         assert done.columns == [*df.columns, "__lines", "__dropped"]
         rows = [(r["source"], r["text"]) for r in df.collect()]
         assert sorted(((r["source"], r["text"]) for r in done.collect()), key=str) == sorted(zip([h for h, _ in rows], lines_by_hand(rows, ratio, least), strict=True), key=str)
+        once = line_dedup.line_dedup(df, "text", "source", max_ratio=ratio, min_pages=least, copies_once=True)
+        assert sorted(((r["source"], r["text"]) for r in once.collect()), key=str) == sorted(zip([h for h, _ in rows], lines_by_hand(rows, ratio, least, True), strict=True), key=str)
     assert line_dedup.line_dedup(brute.empty(spark)).count() == 0
+    assert line_dedup.line_dedup(brute.empty(spark), copies_once=True).count() == 0
+
+
+def test_a_text_with_many_copies_keeps_its_lines(spark):
+    rows = [(k, "one line\nmenu\nanother line", "s") for k in range(40)] + [(100 + k, f"text {k}\nmenu\nmore {k}", "s") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, copies_once=True).collect()}
+    assert all(got[k] == "one line\nanother line" for k in range(40)) and got[103] == "text 3\nmore 3"
 
 
 def test_page_lines(spark):
