@@ -1,13 +1,14 @@
 r"""Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct lower-case words and their 4 and 5 character prefixes, hashed to 2^20 buckets. The machine
-has a weight and a factor vector for each informative bucket, so pairs of terms (an insult with a group mention) count
+has a weight and a factor vector for each bucket, so pairs of terms (an insult with a group mention) count
 beyond their sum: score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>).
 
 Fit. On at most `POSITIVES` + `NEGATIVES` labelled rows outside the held-out fold, the first by hash of the id, so the
-sample is the same wherever rows lie. Buckets are kept if their lift and likelihood ratio say that they mark the label,
-at most `TERMS`; AdaGrad, fixed seed. The sample bounds what reaches the driver; the model (some hundred kB) is
-broadcast. Scoring reads only the text column, in Arrow batches, without a shuffle.
+sample is the same wherever rows lie. Every bucket on 3 rows or more (2 in small samples) is fitted, also one that speaks
+for clean text or only in a pair; AdaGrad, fixed seed. `SPARSE` draws weights and vectors to zero, save for buckets whose
+likelihood ratio alone says that they tell the classes apart; buckets that end at zero add nothing and are left out of
+the model. The sample bounds what reaches the driver and the size of the model, which is broadcast. Scoring reads only the text column, in Arrow batches, without a shuffle.
 
 Defined cases: null text is empty and gets the prior's score; labels without a document, null or conflicting (a
 repeated id) are fitted as far as they are usable; without two classes every score is the prior, 0 if nothing is
@@ -28,9 +29,10 @@ from .common import LETTERS_RE, fold, text_batches, text_of
 
 POSITIVES, NEGATIVES = 4000, 8000
 BUCKETS = 1 << 20
-TERMS = 4096
 FACTORS = 4
 EPOCHS = 30
+#: L1 penalty of a weight, and of the length of a factor vector.
+SPARSE = 1e-3
 _CACHE = 400_000
 
 
@@ -90,35 +92,36 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 7) -> Machine:
     for y, b in rows:
         count[int(y)][b] += 1
     p, q = count[1], count[0]
-    least = 3 if pos >= 50 else 2
-    own = np.flatnonzero((p >= least) & ((p + 0.1) / pos >= 3 * (q + 0.1) / neg))
-    log = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / e), 0.0)
-    share = (p[own] + q[own]) / (pos + neg)
-    g2 = 2 * (log(p[own], pos * share) + log(q[own], neg * share) + log(pos - p[own], pos * (1 - share) + 1e-12) + log(neg - q[own], neg * (1 - share) + 1e-12))
-    order = np.lexsort((own, -g2))
-    known = np.sort(own[order[g2[order] > 10.83][:TERMS]])
+    known = np.flatnonzero(p + q >= (3 if pos >= 50 else 2))
     if not len(known):
         return none
+    p, q = p[known], q[known]
+    log = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / e), 0.0)
+    share = (p + q) / (pos + neg)
+    g2 = 2 * (log(p, pos * share) + log(q, neg * share) + log(pos - p, pos * (1 - share) + 1e-12) + log(neg - q, neg * (1 - share) + 1e-12))
+    sparse = np.where(g2 > 10.83, 0.0, SPARSE)
     place = np.full(BUCKETS, -1, np.int32)
     place[known] = np.arange(len(known))
     data = [x[x >= 0] for x in (place[b] for _, b in rows)]
     rng = np.random.default_rng(seed)
     w0, w, v = np.log(pos / neg), np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS))
-    g0, gw, gv, rate, decay = 1e-6, np.full(len(known), 1e-6), np.full(v.shape, 1e-6), 0.1, 1e-4
+    g0, gw, gv, rate, decay = 1e-6, np.full(len(known), 1e-6), np.full(v.shape, 1e-6), 0.1, 1e-5
+    sums = lambda at, x, n: np.stack([np.bincount(at, x[:, k], n) for k in range(FACTORS)], 1)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
-            flat = np.concatenate([data[i] for i in part]) if len(part) else np.zeros(0, np.int32)
-            row = np.repeat(np.arange(len(part)), [len(data[i]) for i in part])
-            s = np.zeros((len(part), FACTORS))
-            np.add.at(s, row, v[flat])
-            z = w0 + np.bincount(row, w[flat], len(part)) + 0.5 * ((s * s).sum(1) - np.bincount(row, (v[flat] ** 2).sum(1), len(part)))
+            flat, row = np.concatenate([data[i] for i in part]), np.repeat(np.arange(len(part)), [len(data[i]) for i in part])
+            own = v[flat]
+            s = sums(row, own, len(part))
+            z = w0 + np.bincount(row, w[flat], len(part)) + 0.5 * ((s * s).sum(1) - np.bincount(row, (own * own).sum(1), len(part)))
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
-            d0, dw, dv = err.sum(), np.bincount(flat, err[row], len(known)) + decay * w / 100, np.zeros_like(v)
-            np.add.at(dv, flat, err[row, None] * (s[row] - v[flat]))
-            dv += decay * v
+            d0, dw, dv = err.sum(), np.bincount(flat, err[row], len(known)), sums(flat, err[row, None] * (s[row] - own), len(known)) + decay * v
             g0, gw, gv = g0 + d0 * d0, gw + dw * dw, gv + dv * dv
-            w0, w, v = w0 - rate * d0 / np.sqrt(g0), w - rate * dw / np.sqrt(gw), v - rate * dv / np.sqrt(gv)
-    return Machine(known, w0, w, v)
+            step, steps = rate / np.sqrt(gw), rate / np.sqrt(gv)
+            w0, w, v = w0 - rate * d0 / np.sqrt(g0), w - step * dw, v - steps * dv
+            w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
+            v *= np.maximum(1 - steps.mean(1) * sparse / np.maximum(np.sqrt((v * v).sum(1)), 1e-12), 0)[:, None]
+    used = (w != 0) | v.any(axis=1)
+    return Machine(known[used], w0, w[used], v[used])
 
 
 def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

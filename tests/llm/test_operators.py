@@ -280,6 +280,19 @@ def test_machine_learns_a_pair():
     assert m.score("left right") > 0.5 > max(m.score("left else"), m.score("none right"))
 
 
+def test_machine_keeps_terms_without_a_lift_of_their_own():
+    """A group word that is common in clean text, an insult that is clean alone, and a word that speaks for clean text."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(2000):
+        insult, group = rng.random() < 0.6, rng.random() < 0.6
+        clean = not (insult and group) and rng.random() < 0.5
+        rows.append((int(insult and group), toxicity.terms(f"{'oaf' * insult} {'folk' * group} {'calm' * clean} " + " ".join(rng.choices("pqrstuv", k=3)))))
+    m = toxicity.fit(rows)
+    assert all(int(toxicity.terms(w)[0]) in m.at for w in ("oaf", "folk", "calm"))
+    assert m.score("oaf folk p q") > 0.5 > max(m.score("oaf p q"), m.score("folk p q"), m.score("oaf folk calm p q"))
+
+
 def test_language(spark, data, docs):
     got = langid.language(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
