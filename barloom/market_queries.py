@@ -500,12 +500,13 @@ def backtest_metrics(spark, sf_dir):
 
 
 def _orders(spark, sf_dir) -> tuple[DataFrame, int]:
-    """An order log of one scenario per event type: on each crossing of the averages 10 shares are bought or sold."""
+    """An order log of one scenario per event type: on each crossing of the averages 10 shares are bought or sold; and the
+    periods: the most bars of a symbol, or 600 if that is more, to which shorter curves go on in the SQL."""
     from pyspark.sql import Window
 
     rows = _signalled(spark, sf_dir).withColumn("period", F.row_number().over(Window.partitionBy("symbol").orderBy("hour")).cast("long") - 1)
     log = rows.where("buy_signal OR sell_signal").select(F.col("symbol").alias("scenario"), "period", F.lit(0).cast("long").alias("seq"), F.lit("A").alias("asset"), F.when(F.col("buy_signal"), 10.0).otherwise(-10.0).alias("quantity"), F.col("close").alias("price"))
-    return log, 600
+    return log, max(600, (rows.agg(F.max("period")).first()[0] or 0) + 1)
 
 
 def _sequential_sql() -> str:
@@ -525,7 +526,7 @@ def _sequential_sql() -> str:
 @query(_sequential_sql())
 def backtest_sequential(spark, sf_dir):
     log, periods = _orders(spark, sf_dir)
-    return out(SequentialBacktester(periods).run_orders(log.where(F.col("period") < periods), ("scenario",)).capital, ["scenario", "period"], "cash", "equity")
+    return out(SequentialBacktester(periods).run_orders(log, ("scenario",)).capital, ["scenario", "period"], "cash", "equity")
 
 
 def _lots(spark, sf_dir) -> Backtest:

@@ -2,10 +2,12 @@
 
 import math
 
+import duckdb
 import pandas as pd
 import pyarrow as pa
 import pytest
 
+from barloom import market_queries
 from barloom.operators.backtest import Backtest, SequentialBacktester, VectorizedBacktester
 from barloom.operators.factor import Factor
 from barloom.operators.selector import Selector
@@ -13,6 +15,8 @@ from barloom.operators.statistics import clean, linear, returns, student_p
 from barloom.operators.strategy import Strategy
 from barloom.sources.loader import load, prepare_sequential_data
 
+from .conftest import rows
+
 
 @pytest.fixture()
 def folder(tmp_path):
@@ -109,6 +113,17 @@ def test_sequential_by_hand(spark):
     assert r.metrics.first()["total_trades"] == 1
 
 
+def test_sequential_query_takes_all_bars(spark):
+    """Symbols have up to 686 bars here: the registered SQL holds for the first 600 periods, and with its bound moved for all."""
+    data, sql = "/root/testdata/sf0.01", market_queries.oracle_sql()["backtest_sequential"]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+    got = rows(market_queries.queries()["backtest_sequential"](spark, data).toPandas())
+    assert sql.count("600") == 3 and rows(duck.sql(sql.replace("600", "686")).df()) == got and len(got) == 5 * 686
+    period = sorted(["scenario", "period", "cash", "equity"]).index("period")
+    assert rows(duck.sql(sql).df()) == [r for r in got if r[period] < 600]
+
+
 def test_sequential_raises(spark):
     with pytest.raises(ZeroDivisionError):
         SequentialBacktester(1).run(lambda ctx, i: 1 / 0, spark)
