@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,27 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 WORD_RE_BYTES = re.compile(WORD.encode())
-LETTERS_RE = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """Character class of the combining marks (vowel signs, accents), which Python's \\w leaves out, and the two joiners."""
+    spans: list[list[int]] = []
+    for c in range(0x300, 0xE01F0):
+        if unicodedata.category(chr(c))[0] == "M" or c in (0x200C, 0x200D):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+_MARKS = _marks()
+#: A word of letters, with the marks that belong to them.
+LETTERS_RE = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
 
 #: Rows of a table that may be broadcast; callers count first and join by shuffle beyond it.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def text_of(name: str = "text") -> Column:
@@ -44,37 +62,65 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: lost executors cost no recomputation, and later
-    steps read it as often as they like. The folder is the cluster's spark.checkpoint.dir; only where that is unset
-    (single-machine tests) a temporary one is made."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: the cluster's spark.checkpoint.dir. Only on a single
+    machine, where a local folder is shared, a temporary one is made if that is unset; a cluster without it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there: lost executors cost no recomputation, and later
+    steps read it as often as they like. Partitions and their order stay as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share, made for tests where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
-    return context.getCheckpointDir()
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written to `path` in the shared folder as Parquet, and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a step wrote."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores appended until no column of df has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """For operators that run Python over texts: send the package to the workers, and keep Arrow batches of whole texts
-    small, so that a worker holds a few megabytes at a time."""
-    ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row; columns with maps, which have no order, go in as JSON."""
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    plain = [F.to_json(F.struct(F.col(quoted(f.name)))) if "map<" in f.dataType.simpleString() else F.col(quoted(f.name)) for f in df.schema]
+    return F.xxhash64(*plain)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it is known to be small: its rows (df is cut, so counting reads it once) are at
-    most `rows`. Otherwise df as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    most `rows`, and the sum of `size`, the bytes of a row's arrays or strings where it has any, at most `most`.
+    Otherwise df as it is, to be joined by shuffle."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if size is not None and (df.agg(F.sum(size.cast("long"))).first()[0] or 0) > most:
+        return df
+    return F.broadcast(df)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTERS_RE, cut, fold, text_batches, text_of
+from ..session import ship
+from .common import LETTERS_RE, cut, fold, text_of
 
 PER_LANG = 1500
 VOCABULARY = 40_000
@@ -128,7 +129,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame) -> Backoff:
-    text_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text")).where("lang IS NOT NULL").where(fold() != 0)
     sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
     steps = 1 << 20
@@ -144,7 +145,7 @@ def train(docs: DataFrame) -> Backoff:
 
 def predictor(docs: DataFrame, model: Backoff) -> Column:
     """struct(lang_pred, score) of docs' text."""
-    text_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches, text_of
+from ..session import ship
+from .common import cut, text_of
 
 LENGTH = 2048
 END = 0
@@ -246,7 +247,7 @@ def _finish(key: tuple, pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame
 def pack(docs: DataFrame, most: int = LENGTH, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
     spark = docs.sparkSession
-    text_batches(spark)
+    ship(spark)
     texts = docs.select("doc_id", text_of().alias("text"))
     pieces = texts.mapInArrow(_tokenise(path or vocabulary(), most), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = cut(pieces.withColumn("row", F.monotonically_increasing_id()))

@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, text_batches, text_of
+from ..session import ship
+from .common import WORD_RE, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
@@ -248,7 +249,7 @@ def train(docs: DataFrame) -> Field:
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row."""
     spark = docs.sparkSession
-    text_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,9 +14,13 @@ partitions and give the edges of a spanning forest, never all pairs. A group bey
 cluster of near copies) is dealt into blocks, and each pair of blocks is a group of its own, so no task holds it all
 and no comparison is left out. Links and fingerprints stay distributed.
 
-Defined cases: null text is empty; texts without words have fingerprint zero; fewer than 3 words are one shingle; rows
-of a repeated id are rows of one node (each keeps its fingerprint); null ids get a fingerprint and the smallest id they
-reach, null if none.
+Pairs of one anchor are all compared, so work grows with the square of what an anchor holds: 2^26 anchors a half and up to
+32 copies of a fingerprint mean 2 rows an anchor at 4 million distinct fingerprints and 500 at a billion. Beyond that,
+codes on longer parts of the fingerprint are due (`most` and the parts are the operator's own to change).
+
+Defined cases: null text is empty; texts without words have fingerprint zero; fewer than 3 words are one shingle; rows of
+a repeated id are rows of their own, linked by their fingerprints only; rows without an id have a fingerprint, link like
+any other, and get the smallest id they reach, null if there is none.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE_BYTES, cut, small, text_batches, text_of
+from ..session import ship
+from .common import WORD_RE_BYTES, cut, fresh, small, text_of
 from .components import components
 
 MAX_BITS = 3
@@ -102,13 +107,17 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
+#: A distinct fingerprint as a node: ordered by its smallest id, those without one last.
+NODE = "struct<none:boolean,id:long,fp:long>"
+
+
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps, ids = b.column("fp").to_numpy(), b.column("rep").to_numpy()
+        fps, node = b.column("fp").to_numpy(), b.column("node")
         rows, keys, homes = anchors(fps.view(np.uint64))
         for k in range(0, len(rows), 1 << 16):
             part = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(fps[rows[part]]), pa.array(ids[rows[part]]), pa.array(homes[part])], ["anchor", "fp", "rep", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), node.take(pa.array(rows[part])), pa.array(homes[part])], ["anchor", "node", "home"])
 
 
 class _Forest:
@@ -154,21 +163,21 @@ def _compare(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = _Forest(), None
 
-        def edges(group: list[np.ndarray]) -> pa.RecordBatch | None:
-            keys, fps, ids, homes = group
-            a, b = _links(keys, fps, homes, most)
-            new = [(x, y) for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True) if forest.join(x, y)]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], ["u", "v"]) if new else None
+        def edges(group: pa.RecordBatch) -> pa.RecordBatch | None:
+            node = group.column("node")
+            fps = node.field("fp").to_numpy()
+            a, b = _links(group.column("key").to_numpy(), fps.view(np.uint64), group.column("home").to_numpy(zero_copy_only=False), most)
+            new = [k for k, (x, y) in enumerate(zip(fps[a].tolist(), fps[b].tolist(), strict=True)) if forest.join(x, y)]
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a[new])), node.take(pa.array(b[new]))], ["u", "v"]) if new else None
 
         for b in batches:
-            now = [b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("rep").to_numpy(), b.column("home").to_numpy(zero_copy_only=False)]
-            if held is not None:
-                now = [np.concatenate(p) for p in zip(held, now, strict=True)]
-            if not len(now[0]):
+            now = b if held is None else pa.concat_batches([held, b])
+            if not now.num_rows:
                 continue
-            last = np.searchsorted(now[0], now[0][-1], side="left")  # the last group may go on in the next batch
-            held = [p[last:] for p in now]
-            if last and (out := edges([p[:last] for p in now])) is not None:
+            keys = now.column("key").to_numpy()
+            last = int(np.searchsorted(keys, keys[-1], side="left"))  # the last group may go on in the next batch
+            held = now.slice(last)
+            if last and (out := edges(now.slice(0, last))) is not None:
                 yield out
         if held is not None and (out := edges(held)) is not None:
             yield out
@@ -177,33 +186,35 @@ def _compare(most: int):
 
 
 def links(reps: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Forest edges (u, v) between the ids of distinct fingerprints (fp long, rep long) at `most` bits or fewer."""
-    copies = reps.mapInArrow(_replicate, "anchor long, fp long, rep long, home boolean")
+    """Forest edges (u, v: NODE) between distinct fingerprints at `most` bits or fewer. reps: (fp, rep: its smallest id)."""
+    node = F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).cast("long").alias("id"), "fp")
+    copies = reps.select("fp", node.alias("node")).mapInArrow(_replicate, f"anchor long, node {NODE}, home boolean")
     crowded = cut(copies.groupBy("anchor").count().where(F.col("count") > block))
     some = crowded.limit(1).count() > 0
     if some:  # the crowded anchors' groups, dealt into pairs of blocks
         crowded = crowded.select("anchor", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
         hint = small(crowded, 20_000)
         calm = copies.join(hint, "anchor", "left_anti").withColumn("pair", F.lit(0).cast("long"))
-        dealt = copies.join(hint, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        dealt = copies.join(hint, "anchor").withColumn("own", F.pmod(F.xxhash64("node.fp"), F.col("blocks")))
         dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         dealt = dealt.withColumn("pair", (1 + F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).cast("long"))
-        copies = calm.unionByName(dealt.select("anchor", "fp", "rep", "home", "pair"))
-        copies = copies.select(F.xxhash64("anchor", "pair").alias("key"), "fp", "rep", "home")  # a rare clash of keys only joins two groups
+        copies = calm.unionByName(dealt.select("anchor", "node", "home", "pair"))
+        copies = copies.select(F.xxhash64("anchor", "pair").alias("key"), "node", "home")  # a rare clash of keys only joins two groups
     else:
         copies = copies.withColumnRenamed("anchor", "key")
     dealt = copies.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare(most), "u long, v long")
+    return dealt.mapInArrow(_compare(most), f"u {NODE}, v {NODE}")
 
 
 def _grouped(docs: DataFrame, most: int) -> DataFrame:
-    """(doc_id, th: hash of the text, fp, component_id) for every row."""
-    text_batches(docs.sparkSession)
+    """(doc_id, th: hash of the text, fp, component_id, of: the fingerprint that stands for the component) for every row."""
+    ship(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
     prints = cut(texts.mapInArrow(_fingerprints, "doc_id long, th long, fp long"))
     reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(links(reps.where("rep IS NOT NULL"), most))
-    named = reps.join(linked, reps["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    linked = components(links(reps, most)).select(F.col("node.fp").alias("node_fp"), "component")
+    known = F.when(F.col("component").isNull(), F.col("rep")).when(~F.col("component.none"), F.col("component.id"))
+    named = reps.join(linked, F.col("fp") == F.col("node_fp"), "left").select("fp", known.alias("component_id"), F.coalesce("component.fp", "fp").alias("of"))
     return prints.join(named, "fp")
 
 
@@ -213,11 +224,18 @@ def simhash_groups(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each group: the smallest id's (of a repeated id, the text with the smallest hash)."""
+    """docs with one row of each group: the smallest id's (of a repeated id, the text with the smallest hash; of rows alike
+    in id and text, any one)."""
     grouped = cut(_grouped(docs, most))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("m")
-    keep = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first).select(F.col("m.id").alias("__id"), F.col("m.th").alias("__th"))
-    marked = docs.withColumn("__h", F.xxhash64(text_of()))
-    stays = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
+    (h,) = fresh(docs, "text_hash")
+    id_, th = fresh(docs, "keep_id", "keep_hash")
+    keep = grouped.groupBy("of").agg(first).select(F.col("m.id").alias(id_), F.col("m.th").alias(th))
+    stays = docs.withColumn(h, F.xxhash64(text_of())).join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)), "left_semi")
     repeated = grouped.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
-    return (stays.dropDuplicates(["doc_id", "__h"]) if repeated else stays).drop("__h")
+    if repeated:
+        seen, row = fresh(docs, "row_of_id", "row_no")
+        stays = cut(stays.withColumn(row, F.monotonically_increasing_id()))
+        one = stays.groupBy(F.col("doc_id").alias(id_), F.col(h).alias(th)).agg(F.min(row).alias(seen))
+        stays = stays.join(one, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)) & (F.col(row) == F.col(seen)), "left_semi").drop(row)
+    return stays.drop(h)

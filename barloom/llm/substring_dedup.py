@@ -17,15 +17,17 @@ stays in each); rows without an id are left alone; an empty table gives an empty
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches, text_of
+from ..session import ship
+from .common import cut, text_of
 
 SMALLEST, LARGEST = 16, 128
 BITS = 4
@@ -80,18 +82,17 @@ def cuts(raw: bytes) -> list[int]:
 
 
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, length) of each chunk."""
+    """(digest, length) of each chunk; two empty arrays for an empty text."""
     raw = text.encode("utf-8", "replace")
-    ends = cuts(raw)
+    ends = [0, *cuts(raw)]
     digest = xxhash.xxh3_64_intdigest
-    at = [0, *ends[:-1]]
-    return np.array([digest(raw[a:b]) for a, b in zip(at, ends, strict=True)], np.uint64).view(np.int64), np.diff([0, *ends]).astype(np.int32)
+    return np.array([digest(raw[a:b]) for a, b in itertools.pairwise(ends)], np.uint64).view(np.int64), np.diff(ends).astype(np.int32)
 
 
-def _chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [chunks(t) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "digests": [d for d, _ in found]})
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        digests = pa.array([chunks(t)[0] for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), digests], ["doc_id", "th", "digests"])
 
 
 def clean(text: str | None, known: np.ndarray, run_bytes: int = RUN_BYTES) -> tuple[str | None, list[list[int]], int]:
@@ -120,21 +121,21 @@ def clean(text: str | None, known: np.ndarray, run_bytes: int = RUN_BYTES) -> tu
     return b"".join(kept).decode(), spans, len(digests)
 
 
-def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    none = np.zeros(0, np.int64)
-    for pdf in batches:
-        done = [clean(t, none if k is None else np.asarray(k, np.int64)) for t, k in zip(pdf["text"], pdf["known"], strict=True)]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chunks": [n for *_, n in done], "n_removed": [sum(b - a for a, b in s) for _, s, _ in done], "removed": [s for _, s, _ in done], "text": [t for t, *_ in done]})
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        done = [clean(t, np.array(k or [], np.int64)) for t, k in zip(b.column("text").to_pylist(), b.column("known").to_pylist(), strict=True)]
+        columns = [pa.array([n for *_, n in done], pa.int64()), pa.array([sum(b - a for a, b in s) for _, s, _ in done], pa.int64()), pa.array([s for _, s, _ in done], pa.list_(pa.list_(pa.int64()))), pa.array([t for t, *_ in done], pa.string())]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_chunks", "n_removed", "removed", "text"])
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chunks, n_removed: characters, removed: spans of characters, text: what is left) for every row."""
-    text_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), F.col("text").cast("string").alias("text"))
-    digests = cut(texts.where("doc_id IS NOT NULL").withColumn("text", text_of()).mapInPandas(_chunk, "doc_id long, th long, digests array<long>"))
+    digests = cut(texts.where("doc_id IS NOT NULL").withColumn("text", text_of()).mapInArrow(_chunk, "doc_id long, th long, digests array<long>"))
     rows = digests.select("doc_id", "th", F.explode(F.array_distinct("digests")).alias("digest"))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     known = rows.join(first, "digest").where("doc_id > first").groupBy("doc_id", "th").agg(F.collect_set("digest").alias("known"))
-    known = known.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "known")
-    joined = texts.join(known, (F.col("doc_id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left").select("doc_id", "text", "known")
-    return joined.mapInPandas(_clean, "doc_id long, n_chunks long, n_removed long, removed array<array<long>>, text string")
+    known = known.select(F.col("doc_id").alias("of"), F.col("th").alias("of_th"), "known")
+    joined = texts.join(known, (F.col("doc_id") == F.col("of")) & (F.col("th") == F.col("of_th")), "left").select("doc_id", "text", "known")
+    return joined.mapInArrow(_clean, "doc_id long, n_chunks long, n_removed long, removed array<array<long>>, text string")

@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS_RE, fold, text_batches, text_of
+from ..session import ship
+from .common import LETTERS_RE, fold, text_of
 
 POSITIVES, NEGATIVES = 4000, 8000
 BUCKETS = 1 << 20
@@ -131,7 +132,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fit on the labelled documents outside the held-out fold."""
-    text_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     usable = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(fold("id") != 0)
     order = [F.xxhash64("id"), "id", "toxic"]
     sample = usable.where("toxic = 1").orderBy(*order).limit(POSITIVES).unionByName(usable.where("toxic = 0").orderBy(*order).limit(NEGATIVES))
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 
 def scorer(docs: DataFrame, machine: Machine) -> Column:
     """The score of docs' text as a column."""
-    text_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")

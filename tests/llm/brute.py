@@ -80,3 +80,54 @@ def base_stats(text):
             hit.update(p for i in at for p in range(i, i + 5))
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+def chunk_bytes(raw, table, smallest, largest, bits):
+    """Chunks by the definition: the gear hash over the last 32 bytes is computed anew for each place."""
+    out, begin = [], 0
+    for e in range(1, len(raw) + 1):
+        inside = e < len(raw) and raw[e] & 0xC0 == 0x80
+        h = sum(table[raw[e - 1 - j]] << j for j in range(min(32, e))) % (1 << 32)
+        if e - begin == largest:
+            stop = e
+            while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                stop -= 1
+            if stop < e or not (h >> (32 - bits) == 0 and not inside):
+                out.append(raw[begin:stop])
+                begin = stop
+                continue
+        if e - begin >= smallest and h >> (32 - bits) == 0 and not inside:
+            out.append(raw[begin:e])
+            begin = e
+    return [*out, raw[begin:]] if begin < len(raw) else out
+
+
+def without_passages(rows, table, smallest, largest, bits, run_bytes):
+    """rows: (doc_id, text) -> (doc_id, text left, chunks, characters removed, spans): the first holder of a chunk keeps it."""
+    parts = [chunk_bytes((t or "").encode(), table, smallest, largest, bits) for _, t in rows]
+    holders = {}
+    for (i, _), ps in zip(rows, parts, strict=True):
+        for p in ps:
+            if i is not None:
+                holders[p] = min(i, holders.get(p, i))
+    out = []
+    for (i, t), ps in zip(rows, parts, strict=True):
+        seen, flags = set(), []
+        for p in ps:
+            flags.append(p in seen or (i is not None and holders[p] < i))
+            seen.add(p)
+        left, spans, chars, k = "", [], 0, 0
+        while k < len(ps):
+            j = k
+            while j < len(ps) and flags[j] == flags[k]:
+                j += 1
+            piece = b"".join(ps[k:j])
+            n = len(piece.decode())
+            if flags[k] and len(piece) >= run_bytes:
+                spans.append([chars, chars + n])
+            else:
+                left += piece.decode()
+            chars += n
+            k = j
+        out.append((i, left if t is not None else None, len(ps), sum(b - a for a, b in spans), str(spans)))
+    return out

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -54,15 +55,68 @@ def test_exact_by_bytes_alone(spark):
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == brute.exact(pairs(df))
 
 
+def grow(keys, capacity):
+    """The directory of 64-bit keys, and how it was asked for."""
+    asked = []
+
+    def count(of, depth):
+        asked.append(depth)
+        local = of[0][1]
+        under = [k for k in keys if not local or (k >> (64 - local), local) in of]
+        return Counter(k >> (64 - depth) if depth else 0 for k in under)
+
+    return exact_dedup.directory(count, capacity), asked
+
+
 def test_directory_doubles_until_buckets_fit():
     rng = random.Random(1)
-    cells = {i: rng.randint(0, 9) for i in range(256)} | {7: 300}
-    g, slots = exact_dedup.directory(cells, 8, 20)
-    held = defaultdict(int)
-    for c, n in cells.items():
-        held[slots[c >> (8 - g)]] += n
-    assert sum(held.values()) == sum(cells.values())
-    assert all(n <= 20 or local == 8 for (_, local), n in held.items())
+    near = rng.getrandbits(30) << 34
+    for keys in ([rng.getrandbits(64) for _ in range(3000)], [near | rng.getrandbits(12) for _ in range(500)] + [rng.getrandbits(64) for _ in range(100)], [7], []):
+        buckets, asked = grow(keys, 20)
+        at = 0
+        for prefix, depth, n in buckets:  # they cover all keys once, in order, and none is overfull
+            assert prefix << (64 - depth) == at and n <= 20
+            assert n == sum(prefix == k >> (64 - depth) if depth else True for k in keys)
+            at += 1 << (64 - depth)
+        assert at == 1 << 64 and asked == sorted(asked)
+    assert (5, 64, 100) in grow([5] * 100, 20)[0]  # one key cannot be split: no bits are left
+
+
+def test_owner_compares_bytes_and_chains_collisions():
+    """Entries of one key: equal bytes merge, other bytes are another link, a shared digest is reported."""
+    row = lambda key, digest, text, rep, n, ties=1: {"bucket": 0, "key": key, "digest": digest, "text": text, "missing": rep is None, "rep": rep, "n": n, "ties": ties}
+    rows = [row(1, b"d", b"x", 5, 2), row(1, b"e", b"y", 4, 1), row(1, b"d", b"x", 3, 7), row(1, b"d", b"z", None, 1), row(1, b"d", b"x", None, 1), row(2, b"f", None, 9, 1), row(3, b"g", b"t", 2, 3, 2), row(3, b"g", b"t", 2, 1)]
+    batches = [pa.RecordBatch.from_pylist(rows[:3]), pa.RecordBatch.from_pylist(rows[3:])]
+    got = [tuple(r.values()) for b in exact_dedup._own(iter(batches)) for r in b.to_pylist()]
+    assert got == [(1, b"d", 0, 3, 10, 1, True), (1, b"e", 1, 4, 1, 1, False), (1, b"d", 2, None, 1, 1, True), (2, b"f", 0, 9, 1, 1, False), (3, b"g", 0, 2, 4, 3, False)]
+
+
+def test_the_index_decides(spark, monkeypatch):
+    """Without the owners' comparison copies are told apart no more."""
+    df = spark.createDataFrame([(k, "a text" if k % 3 else f"text {k}") for k in range(60)], "doc_id long, text string").repartition(8)
+    assert {r["group_size"] for r in exact_dedup.exact_dedup(df).collect()} == {1, 40}
+    monkeypatch.setattr(exact_dedup, "_own", exact_dedup_unmerged)
+    assert exact_dedup.exact_dedup(df).where("group_size = 40").count() == 0
+
+
+def exact_dedup_unmerged(batches):
+    for b in batches:
+        n = b.num_rows
+        columns = [b.column("key"), b.column("digest"), pa.array([0] * n, pa.int32()), b.column("rep"), b.column("n"), b.column("ties"), pa.array([False] * n)]
+        yield pa.RecordBatch.from_arrays(columns, ["of_key", "of_digest", "link", "rep", "n", "ties", "clash"])
+
+
+BIG = (1 << 53) + 1
+
+
+def test_long_ids_beside_a_null_id_stay(spark):
+    """No operator passes ids through floating point."""
+    df = spark.createDataFrame([(BIG, "a b c\nmail a@b.cc", "en", "s", 1), (None, "a b c\nmail a@b.cc", "en", "s", 1), (BIG + 2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    want = {BIG, None, BIG + 2}
+    for got in (exact_dedup.exact_dedup(df), substring_dedup.substring_dedup(df), pii.personal_data(df), simhash.simhash_groups(df), quality_rules.quality_report(df), toxicity.toxicity(df, labels), mixing.Mix(df).taken(), langid.language(df), packing.pack(df), line_dedup.line_dedup(df)):
+        assert {r["doc_id"] for r in got.collect()} == want
+    assert {r["keep_id"] for r in exact_dedup.exact_dedup(df).collect()} == {BIG, BIG + 2}
 
 
 # simhash
@@ -97,10 +151,40 @@ def test_links_lose_nothing(spark, block):
     fps = sorted(fps)
     rows = [(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)]
     found = components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), 3, block))
-    got = {r["node"]: r["component"] for r in found.collect()}
+    got = {r["node"]["id"]: r["component"]["id"] for r in found.collect()}
     assert [got.get(k, k) for k in range(len(fps))] == brute.components(list(range(len(fps))), fps)
 
 
+def test_a_row_without_an_id_links(spark, monkeypatch):
+    """It joins what it links: the groups on both of its sides are one, and it has their smallest id."""
+    words = [f"w{k}" for k in range(400)]
+    base = " ".join(words)
+    fps = {t: brute.fingerprint(t) for t in (" ".join([*words[:k], "x", *words[k + 1 :]]) for k in range(400))}
+    near = [t for t, f in fps.items() if 0 < (f ^ brute.fingerprint(base)).bit_count() <= 3][:3]
+    rows = [(7, near[0]), (None, base), (3, near[1]), (None, "all alone here"), (None, "all  alone here"), (9, base), (9, "another text of id nine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_groups(df).collect())
+    prints = [brute.fingerprint(t) for _, t in rows]
+    assert got == Counter((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, prints, brute.components([i for i, _ in rows], prints), strict=True))
+    assert sorted((r["doc_id"] or 0) for r in simhash.keep_one(df).collect()) == [0, 3, 9]
+
+
+@pytest.mark.parametrize("hub", [2, 64])
+def test_components_of_hubs(spark, monkeypatch, hub):
+    import barloom.llm.components as module
+
+    monkeypatch.setattr(module, "HUB", hub)
+    rng = random.Random(3)
+    edges = [(0, k) for k in range(1, 200)] + [(500 + k, 501 + k) for k in range(40)] + [(1000, k) for k in range(1001, 1050)] + [(1049, 199)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(90)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    up = {}
+    root = lambda x: x if up.get(x, x) == x else root(up[x])
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
@@ -119,8 +203,8 @@ def test_keep_one(spark):
     df = brute.awkward(spark)
     got = simhash.keep_one(df)
     assert got.columns == df.columns
-    groups = simhash.simhash_groups(df).collect()
-    assert got.count() == len({(r["component_id"], r["fingerprint"] if r["component_id"] is None else "") for r in groups})
+    rows = pairs(df)
+    assert got.count() == len(set(brute.components(list(range(len(rows))), [brute.fingerprint(t) for _, t in rows])))
 
 
 # lines
@@ -210,6 +294,16 @@ def test_passages_go_and_clean_text_stays(spark):
                 at = b
             assert "".join(kept) + before[k][at:] == got[k]["text"]
     assert got[None]["text"] == passage and got[100]["text"] is None
+
+
+def test_passages_against_brute_force(spark, docs, texts):
+    for df, rows in ((docs, list(texts.items())), (brute.awkward(spark), pairs(brute.awkward(spark)))):
+        got = Counter((r["doc_id"], r["text"], r["n_chunks"], r["n_removed"], str([list(x) for x in r["removed"]])) for r in substring_dedup.substring_dedup(df).collect())
+        assert got == Counter(brute.without_passages(rows, substring_dedup._GEAR.tolist(), 16, 128, 4, 150))
+    assert any(r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect())
+
+
+def test_passages_of_empty_tables(spark):
     assert substring_dedup.substring_dedup(brute.awkward(spark)).count() == 14
     assert substring_dedup.substring_dedup(brute.empty(spark)).count() == 0
 
