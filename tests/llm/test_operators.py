@@ -327,6 +327,27 @@ def test_mcd_rejects_planted_outliers(spark):
     assert quality_rules.quality_report(brute.empty(spark)).count() == 0
 
 
+def test_each_statistic_can_reject_alone(spark):
+    """One group of plain texts with one odd text for each statistic; a header repeated once, and small groups, are judged by the language."""
+    rng = random.Random(16)
+    word = lambda n=8: "".join(rng.choices("abcdefghij", k=rng.randint(2, n)))
+    plain = lambda: [" ".join(word() for _ in range(12)) for _ in range(10)]
+    texts = ["\n".join(plain()) for _ in range(300)]
+    odd = {
+        "long words": " ".join("".join(rng.choices("abcdefghij", k=20)) for _ in range(100)),
+        "symbols": " ".join(w + "%" * (k % 3 == 0) for k, w in enumerate(" ".join(plain()).split())),
+        "lines": "\n".join([*plain(), *["menu"] * 4]),
+        "repeated words": "\n".join([*plain(), (x := " ".join(word() for _ in range(11))), word(), x]),
+        "capitals": " ".join(w.upper() if k % 3 == 0 else w for k, w in enumerate(" ".join(plain()).split())),
+    }
+    fine = {"header": "\n".join(["A header", *plain(), "A header"]), "empty group": "\n".join(plain())}
+    rows = [(k, t, "en", "s") for k, t in enumerate([*texts, *odd.values()])] + [(1000 + k, t, "en", f"few{k}") for k, t in enumerate([*odd.values(), *fine.values()])]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [k for k in range(300) if not got[k]] == []
+    assert [n for k, n in enumerate(odd) if got[300 + k] or got[1000 + k]] == []
+    assert all(got[1000 + len(odd) + k] for k in range(len(fine)))
+
+
 # toxicity and language
 
 
