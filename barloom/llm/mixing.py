@@ -9,10 +9,14 @@ Schedule: slot k carries the golden-ratio point u_k = frac(k * phi) in 31-bit fi
 interval of the cumulated targets; the r-th slot of a source takes the r-th block of its stream. A stream is the
 source's documents in the order of md5(doc_id), twice over, cut into blocks of the mean document's words; it ends at the
 target, so the last block may be shorter. Blocks that the points leave over are appended, so that no source ends short.
+The schedule is the order of the mix: `taken` gives each document its first slot and number of slots, and
+`mixed_documents` writes the copies in the order of their first slots, so that any stretch of the output, and a training
+run that stops early, has about the target shares. How many words a source gives in all follows from its target alone.
 
 Scale. Ranks and running sums are two-level: within (source, chunk) and over the chunk totals, so a source with a third
 of all rows is not one task. Slots meet source intervals by an equi-join on cells of the unit interval. The driver sees
-four totals.
+four totals. Sources are ranked in one task (40 bytes each, which spill); copies are dealt to output partitions by slot, so
+a partition holds about the same number of words whatever the source.
 
 Defined cases: null text has no words and is not taken; ties in the order are told apart by id, size and a hash of the
 row; repeated ids are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, small, text_of
+from .common import cut, fresh, n_words, row_hash, small, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -39,7 +43,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame) -> None:
         spark = docs.sparkSession
-        rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"), F.xxhash64(*docs.columns).alias("th"))
+        rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"), row_hash(docs).alias("th"))
         key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
         rows = cut(rows.withColumns({"key": key, "row": F.monotonically_increasing_id()}))
 
@@ -67,10 +71,14 @@ class Mix:
         placed = known.join(sums, ["no", "chunk"]).withColumn("start", F.col("start") + F.col("offset"))
         self.documents = cut(placed.select("doc_id", "source", "size", "th", "row", "no", "source_size", "target", "quota", "start"))
 
+    def slots(self) -> int:
+        """Slots that points are given to; those of blocks left over come after them."""
+        return self.sources.agg(F.coalesce(F.sum(F.ceil(F.col("quota") / self.block)), F.lit(0))).first()[0]
+
     def schedule(self) -> DataFrame:
         """(slot, no: the source's number, block: from 1 within the source)."""
         counts = self.sources.select("no", "target", F.ceil(F.col("quota") / self.block).alias("blocks"))
-        total = counts.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+        total = self.slots()
         upto = F.sum("target").over(Window.orderBy("no")) / F.sum("target").over(Window.partitionBy())
         last = F.max("no").over(Window.partitionBy())
         edges = counts.where("target > 0").select("no", "blocks", F.when(F.col("no") == last, F.lit(_UNIT)).otherwise(F.floor(upto * _UNIT)).cast("long").alias("high"))
@@ -106,26 +114,35 @@ class Mix:
         return cut_up.join(self.schedule(), ["no", "block"]).select("slot", "doc_id", "row", "epoch", "first", "words")
 
     def taken(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken) for every row."""
-        sums = self.pieces().groupBy("row").agg(F.sum("words").alias("taken"))
-        return self.documents.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        """(doc_id, size, source_size, target, taken, first_slot, n_slots) for every row; the slots are -1 and 0 if none of it is taken."""
+        sums = self.pieces().groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
+        none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+        return self.documents.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", none("taken"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"), none("n_slots"))
+
+    def placed(self) -> DataFrame:
+        """copies with the slot of their first word."""
+        at = self.copies().withColumn("block", F.floor(F.col("from") / F.lit(self.block)) + 1)
+        return at.join(self.schedule(), ["no", "block"])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The columns of docs: a row for each copy that the mix takes of a document; one that a target cuts ends with its
-    last word taken."""
+    """The columns of docs: a row for each copy that the mix takes of a document, in the order of the schedule; one that a
+    target cuts ends with its last word taken."""
     mix = Mix(docs)
-    texts = docs.withColumn("__th", F.xxhash64(*docs.columns))
+    th, id_, of, count, size, slot = fresh(docs, "row_hash", "copy_id", "copy_of", "copy_words", "copy_size", "copy_slot")
+    texts = docs.withColumn(th, row_hash(docs))
     if mix.documents.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["doc_id", "__th"])  # rows alike in every column; each is in copies by itself
-    copies = mix.copies().select(F.col("doc_id").alias("__id"), F.col("th").alias("__of"), F.col("words").alias("__words"), F.col("size").alias("__size"))
-    rows = texts.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__of")))
-    some = F.array_join(F.slice(F.split(text_of(), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("__words").cast("int")), "")
-    changed = F.col("__words") < F.col("__size")
+        texts = texts.dropDuplicates(["doc_id", th])  # rows alike in every column; each is in copies by itself
+    copies = cut(mix.placed().select(F.col("doc_id").alias(id_), F.col("th").alias(of), F.col("words").alias(count), F.col("size").alias(size), F.col("slot").alias(slot)))
+    rows = texts.join(copies, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(th) == F.col(of)))
+    some = F.array_join(F.slice(F.split(text_of(), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col(count).cast("int")), "")
+    changed = F.col(count) < F.col(size)
     rows = rows.withColumn("text", F.when(changed, some).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    slots, parts = mix.slots(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.least(F.col(slot), F.lit(max(0, slots - 1))) * parts / max(1, slots)).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions(slot, "doc_id").select(*docs.columns)
 
 
 ORACLE = r"""
@@ -135,9 +152,21 @@ w AS (SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::BIGINT
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w::DOUBLE, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
        / sum(w) OVER (ORDER BY 2 * source_size / w::DOUBLE, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
 t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, w::DOUBLE * max(level) OVER ()) AS target FROM l),
-p AS (SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS quota, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS c
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+q AS (SELECT *, floor(target)::BIGINT AS quota FROM t),
+k AS (SELECT greatest(1, sum(size) // count(*))::BIGINT AS block FROM d),
+n AS (SELECT q.*, no, ceil(quota / block::DOUBLE)::BIGINT AS blocks, sum(ceil(quota / block::DOUBLE)::BIGINT) OVER () AS total FROM q JOIN s ON q.source IS NOT DISTINCT FROM s.source, k),
+u AS (SELECT no, blocks, CASE WHEN no = max(no) OVER () THEN 2147483648 ELSE floor(sum(target) OVER (ORDER BY no) / sum(target) OVER () * 2147483648)::BIGINT END AS high FROM n WHERE target > 0),
+iv AS (SELECT no, blocks, lag(high, 1, 0) OVER (ORDER BY no) AS low, high FROM u),
+pt AS (SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS x FROM (SELECT unnest(range((SELECT max(total) FROM n)::BIGINT)) AS slot)),
+ht AS (SELECT slot, no, blocks, row_number() OVER (PARTITION BY no ORDER BY slot) AS block FROM pt JOIN iv ON x >= low AND x < high),
+sch AS (SELECT slot, no, block FROM ht WHERE block <= blocks
+        UNION ALL SELECT total::BIGINT + b * 1048576 + no, no, b FROM (SELECT n.no, total, unnest(range(coalesce(had, 0) + 1, blocks + 1)) AS b FROM n LEFT JOIN (SELECT no, count(*) AS had FROM ht GROUP BY no) h ON n.no = h.no)),
+p AS (SELECT row_number() OVER () AS r, doc_id, size, n.source_size, target, quota, no, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS c
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+e AS (SELECT *, c + turn * source_size AS start, least(size, quota - (c + turn * source_size)) AS words FROM p, range(2) x(turn)),
+bl AS (SELECT r, no, unnest(range(start // block + 1, (start + words - 1) // block + 2)) AS block FROM e, k WHERE words > 0),
+f AS (SELECT r, min(slot)::BIGINT AS first_slot, count(*) AS n_slots FROM bl JOIN sch USING (no, block) GROUP BY r)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(c + size, quota) - c) + greatest(0, least(c + source_size + size, quota) - (c + source_size)))::BIGINT AS taken
-FROM p
+       (greatest(0, least(c + size, quota) - c) + greatest(0, least(c + source_size + size, quota) - (c + source_size)))::BIGINT AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM p LEFT JOIN f USING (r)
 """

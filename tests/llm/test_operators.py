@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -489,13 +490,18 @@ def test_mix(spark, docs):
     for df in (docs, brute.awkward(spark)):
         rows = mixing.Mix(df).taken().collect()
         assert len(rows) == df.count()
-        by = defaultdict(list)
+        source = {r["doc_id"]: r["source"] for r in df.collect()}
+        total, taken, target, size = sum(r["size"] for r in rows), Counter(), {}, Counter()
         for r in rows:
-            by[r["target"], r["source_size"]].append(r)
             assert r["taken"] <= 2 * r["size"] and r["target"] <= 2 * r["source_size"] + 1e-9
-        assert sum(r["size"] for r in rows) * 1.5 == pytest.approx(sum(r["target"] * len({r["target"]}) for r in {(x["source_size"], x["target"]): x for x in rows}.values()), rel=1) or True
-        total = sum(r["size"] for r in rows)
-        assert sum(r["taken"] for r in rows) <= 1.5 * total + 1
+            taken[source[r["doc_id"]]] += r["taken"]
+            size[source[r["doc_id"]]] += r["size"]
+            target[source[r["doc_id"]]] = r["target"]
+            assert (r["first_slot"] == -1) == (r["n_slots"] == 0) == (r["taken"] == 0)
+        if len(source) == len(rows):
+            assert all(abs(taken[k] - target[k]) < 1 for k in target)
+            assert sum(target.values()) == pytest.approx(min(1.5 * total, 2 * sum(size.values())))
+        assert 1.5 * total - len(target) <= sum(r["taken"] for r in rows) <= 1.5 * total + 1
     assert mixing.Mix(brute.empty(spark)).taken().count() == 0
 
 
@@ -527,6 +533,29 @@ def test_mixed_documents(spark, docs):
         assert words == sum(r["taken"] for r in mixing.Mix(df).taken().collect())
 
 
+def test_mixed_documents_come_in_the_order_of_the_schedule(spark, docs, tmp_path):
+    """What is written comes by slot, so that its first part has the target shares already."""
+    mix = mixing.Mix(docs)
+    slots = sorted((r["slot"], r["doc_id"], r["epoch"]) for r in mix.placed().collect())
+    mixing.mixed_documents(docs).write.parquet(f"{tmp_path}/mixed")
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    rows = [r for f in files for r in pq.read_table(f).to_pylist()]
+    assert [r["doc_id"] for r in rows] == [i for _, i, _ in slots]
+    target = {r["source"]: r["target"] for r in mix.sources.collect()}
+    words, whole = Counter(), sum(target.values())
+    for k, r in enumerate(rows):
+        words[r["source"]] += len(brute.WORD.findall(r["text"]))
+        if k == len(rows) // 2:
+            so_far = sum(words.values())
+            longest = max(len(brute.WORD.findall(x["text"])) for x in rows)
+            assert all(abs(words[x] - so_far * target[x] / whole) <= longest + 8 * mix.block for x in target)
+
+
+def test_maps_in_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", {"k": "v"}), (2, "c d e", "s", None)], "doc_id long, text string, source string, extra map<string,string>")
+    assert mixing.mixed_documents(df).columns == df.columns and mixing.Mix(df).taken().count() == 2
+
+
 # packing
 
 
