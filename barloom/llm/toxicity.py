@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import LETTERS_RE, fold, text_of
+from .common import LETTERS_RE, fold, fresh, text_of
 
 POSITIVES, NEGATIVES = 4000, 8000
 BUCKETS = 1 << 20
@@ -164,4 +164,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the machine marks."""
-    return docs.withColumn("__score", scorer(docs, train(docs, labels))).where("__score < 0.5").drop("__score")
+    (score,) = fresh(docs, "score")
+    return docs.withColumn(score, scorer(docs, train(docs, labels))).where(F.col(score) < 0.5).drop(score)

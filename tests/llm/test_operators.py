@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from barloom.llm import exact_dedup, langid, line_dedup, mixing, packing, pii, quality_rules, queries, simhash, substring_dedup, toxicity
 from barloom.llm.components import components
 
@@ -212,12 +214,31 @@ def test_keep_one(spark):
 
 
 def lines_by_hand(rows, max_ratio, min_pages, copies_once=False):
-    pages, counts = Counter(), Counter()
-    for host, text in {(host or "", text or "") for host, text in rows} if copies_once else rows:
-        pages[host or ""] += 1
-        counts.update({(host or "", x.strip(" \t\n\x0b\x0c\r")) for x in (text or "").split("\n")})
-    bad = {k for k, n in counts.items() if k[1] and n >= min_pages and n > max_ratio * pages[k[0]]}
-    return ["\n".join(x for x in t.split("\n") if (h or "", x.strip(" \t\n\x0b\x0c\r")) not in bad) if t else t for h, t in rows]
+    """rows: (host, text) -> texts without the lines above the ratio."""
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    lines = lambda t: {strip(x) for x in t.split("\n")} - {""}
+
+    def over(pages):
+        """pages: (host, class, lines); those of one class are one page."""
+        total, held = defaultdict(set), defaultdict(set)
+        for h, c, ls in pages:
+            total[h].add(c)
+            for x in ls:
+                held[h, x].add(c)
+        return {k for k, v in held.items() if len(v) >= min_pages and len(v) > max_ratio * len(total[k[0]])}
+
+    pages = [(h or "", t or "") for h, t in rows]
+    if not copies_once:
+        bad = over([(h, k, lines(t)) for k, (h, t) in enumerate(pages)])
+    else:
+        first, again = over([(h, t, lines(t)) for h, t in pages]), []
+        for h, t in pages:
+            found = {x for x in lines(t) if (h, x) in first}
+            copied = found and sum(map(len, found)) >= line_dedup.COPIED * sum(map(len, lines(t)))
+            signed = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(x.encode(), 42) >> 63)
+            again.append((h, ("signature", min(map(signed, found))) if copied else t, found))
+        bad = over(again)
+    return ["\n".join(x for x in t.split("\n") if (h or "", strip(x)) not in bad) if t else t for h, t in rows]
 
 
 def test_lines(spark, docs):
@@ -239,6 +260,18 @@ def test_a_text_with_many_copies_keeps_its_lines(spark):
     assert all(got[k] == "one line\nanother line" for k in range(40)) and got[103] == "text 3\nmore 3"
 
 
+def test_near_copies_count_once(spark):
+    """Forty near copies of one text, each with another line changed, in a source of a hundred pages, and three in one of
+    twenty: they keep their lines; the menu of all other pages goes, from them too."""
+    text = [f"line {k} of the text that is copied" for k in range(9)]
+    near = lambda k: "\n".join([*text[: k % 9], f"changed {k}", *text[k % 9 + 1 :], "menu"])
+    other = lambda k: f"a text of its own, number {k}\nmenu\nand its other lines {k}"
+    rows = [(k, near(k), "s") for k in range(40)] + [(100 + k, other(k), "s") for k in range(60)] + [(200 + k, near(k), "t") for k in range(3)] + [(300 + k, other(k), "t") for k in range(17)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    assert got == {i: t.replace("\nmenu", "") for i, t, _ in rows}
+
+
 def test_page_lines(spark):
     html = "<html><script>var a='<p>';</script><nav>menu</nav><p>text {}</p><!-- no --></html>"
     df = spark.createDataFrame([(k, f"https://u@Host.example:80/{k}?q", html.format(k), "x") for k in range(5)] + [(9, None, None, "x"), (10, "nonsense", "<p>", "x")], "page_id long, url string, html string, host string")

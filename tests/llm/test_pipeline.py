@@ -26,7 +26,7 @@ def test_stages(spark, data, tmp_path):
     assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before if machine.score(r["text"]) < 0.5)
 
     before, after = map(rows, results[1])
-    want = {r["doc_id"]: t for r, t in zip(before, lines_by_hand([(r["source"], r["text"]) for r in before], 0.1, 3, True), strict=True)}
+    want = {r["doc_id"]: t for r, t in zip(before, lines_by_hand([(r["source"], r["text"]) for r in before], 0.1, corpus_pipeline.MIN_PAGES, True), strict=True)}
     assert {r["doc_id"]: r["text"] for r in after} == want and len(after) == len(before)
     assert any(r["text"] != want[r["doc_id"]] for r in before)
     assert all(r["n_chars"] == len(r["text"]) for r in after)
