@@ -1,9 +1,11 @@
 """A corpus from raw documents to packed sequences: each stage is written as Parquet and read again by the next.
 
 toxicity drops the documents that the factorization machine marks; line dedup drops boilerplate lines of a source, of
-which copies of one text are one page, as they are not dropped yet;
-SimHash near-dedup keeps one document of each group; mixing takes documents, up to twice, to the sources' targets;
-best-fit packing gives the pieces of the training sequences.
+which exact and near copies of one text are one page, as they are not dropped yet;
+SimHash near-dedup keeps one document of each group; mixing takes documents, up to twice, to the sources' targets, in the
+order of its schedule; best-fit packing gives the pieces of the training sequences.
+
+A stage's table in the shared folder is removed when the next stage has been written; the last one is the result's.
 """
 
 from __future__ import annotations
@@ -14,7 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import line_dedup, mixing, packing, simhash, toxicity
-from barloom.llm.common import read, shared_folder
+from barloom.llm.common import fresh, read, remove, shared_folder
+
+
+#: A boilerplate line stands on this many different pages of a source at least: near copies of one text that differ in up
+#: to three lines count for four.
+MIN_PAGES = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.line_dedup(docs, "text", "source", copies_once=True)
-    shorter = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", shorter).select(*docs.columns)
+    n_lines, n_dropped = fresh(docs, "n_lines", "n_dropped")
+    done = line_dedup.line_dedup(docs, "text", "source", min_pages=MIN_PAGES, copies_once=True, counts=(n_lines, n_dropped))
+    if "n_chars" in docs.columns:
+        shorter = F.when(F.col(n_dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        done = done.withColumn("n_chars", shorter)
+    return done.drop(n_lines, n_dropped)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
