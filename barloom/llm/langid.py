@@ -5,9 +5,10 @@ A word known from the fit scores by its log frequency in each language. An unsee
 language has the largest sum over its words.
 
 Fit. Words and n-grams of about `PER_LANG` documents a language, outside the held-out fold: the sampling rate comes from
-the language's row count, and a document is taken by hash of its id, so no ranking within a hot language is needed. At
-most `VOCABULARY` words a language reach the driver. Scoring reads only the text column, in Arrow batches, with a
-bounded cache of words, and needs no shuffle.
+the language's row count, and a document is taken by hash of its id, so no ranking within a hot language is needed. All
+words of those documents that occur twice or more are learned; one that occurs once is left to its n-grams. Words are
+letters with their combining marks. Scoring reads only the text column, in Arrow batches, with a bounded cache of words,
+and needs no shuffle. A worker holds the table of known words and cache: 4 bytes for each word and language.
 
 Defined cases: null text or a text without letters is `und` with score 0; ties go to the language that sorts first;
 with nothing to learn from every text is `und`; other columns are ignored.
@@ -20,14 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import LETTERS_RE, cut, fold, text_of
 
 PER_LANG = 1500
-VOCABULARY = 40_000
 LONGEST = 5
 _ROOM = 400_000
 
@@ -135,9 +135,8 @@ def train(docs: DataFrame) -> Backoff:
     steps = 1 << 20
     taken = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) * F.col("size") < F.lit(steps) * F.lit(PER_LANG))
     counts = taken.select("lang", "text").mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= VOCABULARY)
     by: dict[str, dict[str, int]] = {r["lang"]: {} for r in sizes.collect()}
-    for r in top.select("lang", "word", "n").collect():
+    for r in counts.select("lang", "word", "n").collect():
         by[r["lang"]][r["word"]] = r["n"]
     langs = sorted(by)
     return Backoff(langs, [by[k] for k in langs])

@@ -1,7 +1,10 @@
 """Brute-force versions and the awkward rows every operator is run on."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -131,3 +134,55 @@ def without_passages(rows, table, smallest, largest, bits, run_bytes):
             k = j
         out.append((i, left if t is not None else None, len(ps), sum(b - a for a, b in spans), str(spans)))
     return out
+
+
+def languages(rows, letters):
+    """rows: (doc_id, lang, text) -> {doc_id: (language, score)}: words first, then the longest n-grams that are known."""
+    seen = defaultdict(Counter)
+    for i, lang, text in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            seen[lang].update(letters.findall((text or "").lower()))
+    names = sorted(seen)
+    counts = {k: {w: n for w, n in c.items() if n > 1} for k, c in seen.items()}
+    grams = {n: {k: Counter() for k in names} for n in range(1, 6)}
+
+    def cut(w, n):
+        full = w if n == 1 else f"^{w}$"
+        return [full[i : i + n] for i in range(len(full) - n + 1)]
+
+    for k in names:
+        for w, c in counts[k].items():
+            for n in range(1, 6):
+                for g in cut(w, n):
+                    grams[n][k][g] += c
+
+    def logs(held, known):
+        totals = {k: math.log(sum(held[k].values()) + 0.5 * max(1, len(known))) for k in names}
+        return lambda x: [math.log(held[k].get(x, 0) + 0.5) - totals[k] for k in names]
+
+    words = set().union(*counts.values())
+    known = {n: {g for g, c in sum(grams[n].values(), Counter()).items() if c >= 3} for n in grams}
+    of_word, of_gram = logs(counts, words), {n: logs(grams[n], known[n]) for n in grams}
+
+    def score(w):
+        if w in words:
+            return of_word(w)
+        for n in (5, 4, 3, 2, 1):
+            hits = [of_gram[n](g) for g in cut(w, n) if g in known[n]]
+            if hits:
+                return [sum(x) / len(hits) for x in zip(*hits, strict=True)]
+        return [0.0] * len(names)
+
+    out, memo = {}, {}
+    for i, _, text in rows:
+        found = letters.findall((text or "").lower())
+        if not found:
+            out[i] = ("und", 0.0)
+            continue
+        for w in set(found) - memo.keys():
+            memo[w] = score(w)
+        total = [sum(x) for x in zip(*(memo[w] for w in found), strict=True)]
+        best = max(range(len(names)), key=lambda k: (total[k], -k))
+        z = [(t - total[best]) / len(found) * min(len(found), 20) for t in total]
+        out[i] = (names[best], 1 / sum(map(math.exp, z)))
+    return out

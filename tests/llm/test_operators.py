@@ -454,6 +454,22 @@ def test_language(spark, data, docs):
     assert {r["lang_pred"] for r in langid.language(digits).collect()} <= {"und"}
 
 
+def test_language_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs.collect()]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language(docs).collect()}
+    want = brute.languages(rows, langid.LETTERS_RE)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-3 for k in want)
+
+
+def test_words_keep_their_marks(spark):
+    hindi, thai = "नमस्ते दुनिया यह हिन्दी है", "สวัสดี ชาวโลก นี่ คือ ภาษาไทย"
+    assert langid.LETTERS_RE.findall(hindi) == hindi.split() and langid.LETTERS_RE.findall(thai) == thai.split()
+    rows = [(k, (hindi if k % 2 else thai), "hi" if k % 2 else "th") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == ("hi" if r["doc_id"] % 2 else "th") for r in langid.language(df).collect())
+
+
 def test_backoff_falls_to_shorter_grams():
     m = langid.Backoff(["a", "b"], [{"katten": 5, "hund": 5}, {"zebra": 5, "quokka": 5}])
     assert m.predict("katten")[0] == "a" and m.predict("kattenz")[0] == "a" and m.predict("zebr")[0] == "b" and m.predict("q")[0] == "b"
