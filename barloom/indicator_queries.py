@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import candle_sql
 from .functions import candles
 from .functions import indicators
 from .plans import Indicator, indicate
-from .sources.bars import WALK_BARS_SQL, walk_bars
+from .sources.bars import JUMP_BARS_SQL, WALK_BARS_SQL, jump_bars, walk_bars
 
 
 class _Later:
@@ -47,11 +48,6 @@ def skipping(x: str, p: int) -> str:
     return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER {w} >= {p} THEN avg({x}) OVER {w} END"
 
 
-def lagged() -> dict[str, str]:
-    """Prices of this bar and four before it, as candles.expression() asks for them."""
-    return {f"{k}{n}_": x if n == 0 else f"lag({x}, {n}) OVER {ALL}" for k, x in zip("ohlc", OHLC, strict=True) for n in range(5)}
-
-
 #: Six digits, the same in both engines on ties, without negative zeros.
 SIX = "floor(({})::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
@@ -180,6 +176,32 @@ def _sar(a: float, m: float) -> str:
     return s.text(sar="out")
 
 
+def _cycle(fast: float = 0.5, slow: float = 0.05) -> Sql:
+    """The homodyne discriminator as a recursion over bars, its delay lines as lists (newest first): i and q of each bar,
+    the smoothed period, and both adaptive averages."""
+    tap = lambda v: f"(0.0962e0 * {v}[1] + 0.5769e0 * {v}[3] - 0.5769e0 * {v}[5] - 0.0962e0 * {v}[7])"
+    push = lambda x, v: f"list_prepend({x}, {v}[1:6])"
+    s = Sql().step(n="count(*) OVER (PARTITION BY symbol)", sp=f"CASE WHEN rn >= 4 THEN (4 * close + 3 * lag(close) OVER {ALL} + 2 * lag(close, 2) OVER {ALL} + lag(close, 3) OVER {ALL}) * 0.1e0 ELSE 0 END")
+    s.step(four=f"0.0962e0 * sp + 0.5769e0 * lag(sp, 2) OVER {ALL} - 0.5769e0 * lag(sp, 4) OVER {ALL} - 0.0962e0 * lag(sp, 6) OVER {ALL}")
+    zero = "[0, 0, 0, 0, 0, 0, 0]::DOUBLE[]"
+    s.ctes.append(f"""hil AS (
+  SELECT symbol, 6::BIGINT AS rn, {zero} AS det, {zero} AS qs, {zero} AS ins, 0::DOUBLE AS i2, 0::DOUBLE AS q2, 0::DOUBLE AS re, 0::DOUBLE AS im, 0::DOUBLE AS per, 0::DOUBLE AS sm, 0::DOUBLE AS ph, close AS ma, close AS fa FROM {s.last} WHERE rn = 6 AND n >= 32
+  UNION ALL
+  SELECT symbol, rn, det, qs, ins, i2, q2, re, im, per, 0.33e0 * per + 0.67e0 * sm AS sm, ph, ma, alpha / 2 * ma + (1 - alpha / 2) * fa AS fa FROM (
+    SELECT *, 0.2e0 * least(greatest(least(greatest(raw, 0.67e0 * was), 1.5e0 * was), 6), 50) + 0.8e0 * was AS per, alpha * close + (1 - alpha) * last_ma AS ma FROM (
+      SELECT *, CASE WHEN im != 0 AND re != 0 THEN 2 * pi() / atan(im / re) ELSE before END AS raw, greatest({fast} / greatest(last_ph - ph, 1), {slow}) AS alpha FROM (
+        SELECT *, 0.2e0 * (i2 * i2p + q2 * q2p) + 0.8e0 * rep AS re, 0.2e0 * (i2 * q2p - q2 * i2p) + 0.8e0 * imp AS im, CASE WHEN ins[1] != 0 THEN degrees(atan(qs[1] / ins[1])) ELSE 0 END AS ph FROM (
+          SELECT *, 0.2e0 * (ins[1] - {tap('qs')} * g) + 0.8e0 * i2p AS i2, 0.2e0 * (qs[1] + {tap('ins')} * g) + 0.8e0 * q2p AS q2 FROM (
+            SELECT *, {push(f"{tap('det')} * g", 'lq')} AS qs, {push('det[4]', 'li')} AS ins FROM (
+              SELECT symbol, rn, close, g, was, before, i2p, q2p, rep, imp, sm, last_ph, last_ma, fa, lq, li, {push('four * g', 'ld')} AS det FROM (
+                SELECT h.symbol, t.rn, t.close, t.four, CASE WHEN t.rn = 7 THEN 6 ELSE h.per END AS was, h.per AS before, 0.075e0 * CASE WHEN t.rn = 7 THEN 6 ELSE h.per END + 0.54e0 AS g,
+                  h.i2 AS i2p, h.q2 AS q2p, h.re AS rep, h.im AS imp, h.sm, h.ph AS last_ph, h.ma AS last_ma, h.fa, h.det AS ld, h.qs AS lq, h.ins AS li
+                FROM hil h JOIN {s.last} t ON t.symbol = h.symbol AND t.rn = h.rn + 1))))))))""")
+    s.ctes.append(f"cy AS (SELECT t.*, CASE WHEN t.rn >= 32 THEN h.ins[1] END AS i, CASE WHEN t.rn >= 32 THEN h.qs[1] END AS q, CASE WHEN t.rn >= 32 THEN h.sm END AS sm, CASE WHEN t.rn >= 32 THEN h.ph END AS ph, CASE WHEN t.rn >= 33 THEN h.ma END AS ma, CASE WHEN t.rn >= 33 THEN h.fa END AS fa FROM {s.last} t LEFT JOIN hil h USING (symbol, rn))")
+    s.last = "cy"
+    return s
+
+
 def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     """name -> (request, oracle); a struct's fields are the oracle's columns, else the column is the name."""
     q: dict[str, tuple[Callable[[], Indicator], str | None]] = {}
@@ -200,7 +222,7 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     add("bbands", I.BBANDS(C, 20), Sql().step(m=full("avg", C, 20), d=full("stddev_pop", C, 20)).text(bb_upper="m + 2 * d", bb_middle="m", bb_lower="m - 2 * d"))
     add("midpoint", I.MIDPOINT(C, 14), Sql().text(midpoint=f"(max(close) OVER {W(14)} + min(close) OVER {W(14)}) / 2"))
     add("midprice", I.MIDPRICE("high", "low", 14), Sql().text(midprice=f"(max(high) OVER {W(14)} + min(low) OVER {W(14)}) / 2"))
-    add("mama", I.MAMA(C), None)
+    add("mama", I.MAMA(C), _cycle().text(mama="ma", fama="fa"))
     cases = " ".join(f"WHEN {k} THEN {full('avg', C, k)}" for k in range(2, 13))
     add("mavp", I.MAVP(C, lambda: F.col("hour") % 15, 2, 12), Sql().text(mavp=f"CASE least(greatest(hour % 15, 2), 12) {cases} END"))
     add("sar", I.SAR("high", "low"), _sar(0.02, 0.2))
@@ -246,8 +268,10 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     add("ultosc", I.ULTOSC(*HLC), ult.text(ultosc="100 * (4 * a + 2 * z + y) / 7"))
     add("willr", I.WILLR(*HLC), Sql().step(t=full("max", "high", 14), m=full("min", "low", 14)).text(willr="CASE WHEN t = m THEN 0 ELSE -100 * (t - close) / (t - m) END"))
 
-    for name, ind in (("ht_dcperiod", I.HT_DCPERIOD(C)), ("ht_dcphase", I.HT_DCPHASE(C)), ("ht_phasor", I.HT_PHASOR(C)), ("ht_sine", I.HT_SINE(C))):
-        add(name, ind, None)
+    add("ht_dcperiod", I.HT_DCPERIOD(C), _cycle().text(ht_dcperiod="sm"))
+    add("ht_dcphase", I.HT_DCPHASE(C), _cycle().step(a="ph + 90 + CASE WHEN i < 0 THEN 180 ELSE 0 END").text(ht_dcphase="CASE WHEN a > 315 THEN a - 360 ELSE a END"))
+    add("ht_phasor", I.HT_PHASOR(C), _cycle().text(inphase="i", quadrature="q"))
+    add("ht_sine", I.HT_SINE(C), _cycle().text(sine="sin(radians(ph))", leadsine="sin(radians(ph + 45))"))
     m4 = f"CASE WHEN rn >= 32 THEN avg(close) OVER {W(4)} END"
     add("ht_trendline", I.HT_TRENDLINE(C), Sql().text(ht_trendline=m4))
     add("ht_trendmode", I.HT_TRENDMODE(C), Sql().step(m=m4).text(ht_trendmode="CASE WHEN m IS NOT NULL THEN CASE WHEN abs(close - m) > 0.01e0 * m THEN 1 ELSE 0 END END"))
@@ -268,11 +292,10 @@ def _catalog() -> dict[str, tuple[Callable[[], Indicator], str | None]]:
     q["stochf"] = (q["stochf"][0], _stochk(Sql(), *HLC, 5).text(fastk="fastk", fastd=skipping("fastk", 3)))
     q["stochrsi"] = (q["stochrsi"][0], _stochk(_rsi(14), "rsi", "rsi", "rsi", 5).text(fastk="fastk", fastd=skipping("fastk", 3)))
 
-    lag = lambda k, n: {"o": "open", "h": "high", "l": "low", "c": "close"}[k] if n == 0 else f"{k}{n}_"
-    lags = {f"{k}{n}_": f"lag({x}, {n}) OVER {ALL}" for k, x in zip("ohlc", OHLC, strict=True) for n in range(1, 5)}
+    both = f"{WALK_BARS_SQL.strip()}, {JUMP_BARS_SQL.strip()}, every AS (SELECT * FROM bars UNION ALL SELECT * FROM jumps), {candle_sql.BARS.strip().format(table='every')}"
     for name in candles.RULES:
-        short = "cdl_" + name[3:].lower()
-        add(short, lambda name=name: candles.candle(name), Sql().step(**lags).text(**{short: candles.expression(name, lag)}))
+        short = name[3:].lower()
+        add(f"cdl_{short}", lambda name=name: candles.candle(name), f"WITH {both} SELECT symbol, hour, {SIX.format(candle_sql.pattern(short))} AS cdl_{short} FROM seq")
     return q
 
 
@@ -282,6 +305,8 @@ CATALOG = _catalog()
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = walk_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        if name.startswith("cdl_"):  # patterns need gaps, long bodies and runs as well
+            bars = bars.unionByName(jump_bars(bars))
         out = indicate(bars, ["symbol"], ["hour"], out=CATALOG[name][0]())
         kind = out.schema["out"].dataType
         fields = [(f.name, F.col(f"out.{f.name}")) for f in kind.fields] if hasattr(kind, "fields") else [(name, F.col("out"))]

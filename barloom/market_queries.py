@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import candles
+from . import candle_sql
 from .functions import indicators as I
-from .indicator_queries import ALL, OHLC, SIX, Sql, W, directional, full, lagged, six, skipping
+from .indicator_queries import ALL, OHLC, SIX, Sql, W, directional, full, six, skipping
 from .operators.backtest import Backtest, SequentialBacktester, VectorizedBacktester
 from .operators.factor import Factor
 from .operators.selector import Selector, kdj_lines
@@ -445,7 +445,17 @@ _signals("strategy_grid", "grid", "cell < lc", "cell > lc", Sql().step(f0=f"firs
 _signals("strategy_gap", "gap", "open > ph * (1 + 0.1e0 / 100)", "open < pl * (1 - 0.1e0 / 100)", Sql().step(ph=f"lag(high) OVER {ALL}", pl=f"lag(low) OVER {ALL}"), gap_pct=0.1)
 _SHAPES = ("CDLENGULFING", "CDLHAMMER", "CDLMORNINGSTAR", "CDLSHOOTINGSTAR", "CDLEVENINGSTAR", "CDLHARAMI")
 _shaped = lambda v: "(" + " OR ".join(f"{n} = {v}" for n in _SHAPES) + ")"
-_signals("strategy_pattern", "pattern", _shaped(100), _shaped(-100), Sql().step(**lagged()).step(**{n: candles.expression(n, lambda k, n: f"{k}{n}_") for n in _SHAPES}))
+
+
+def _shapes() -> Sql:
+    s = Sql()
+    s.ctes.append(candle_sql.BARS.strip().format(table="bars"))
+    s.ctes.append(f"shp AS (SELECT b.*, {', '.join(f'{candle_sql.pattern(n[3:].lower())} AS {n}' for n in _SHAPES)} FROM b JOIN seq USING (symbol, hour))")
+    s.last = "shp"
+    return s
+
+
+_signals("strategy_pattern", "pattern", _shaped(100), _shaped(-100), _shapes())
 _signals("strategy_trend", "trend", f"u AND NOT lag(u) OVER {ALL}", f"w AND NOT lag(w) OVER {ALL}", Sql().step(a=full("avg", "close", 5), m=full("avg", "close", 10), z=full("avg", "close", 20)).step(u="a > m AND m > z", w="a < m AND m < z"))
 
 
@@ -501,12 +511,12 @@ def backtest_metrics(spark, sf_dir):
 
 def _orders(spark, sf_dir) -> tuple[DataFrame, int]:
     """An order log of one scenario per event type: on each crossing of the averages 10 shares are bought or sold; and the
-    periods: the most bars of a symbol, or 600 if that is more, to which shorter curves go on in the SQL."""
+    periods: the most bars of a symbol, to which shorter curves go on."""
     from pyspark.sql import Window
 
     rows = _signalled(spark, sf_dir).withColumn("period", F.row_number().over(Window.partitionBy("symbol").orderBy("hour")).cast("long") - 1)
     log = rows.where("buy_signal OR sell_signal").select(F.col("symbol").alias("scenario"), "period", F.lit(0).cast("long").alias("seq"), F.lit("A").alias("asset"), F.when(F.col("buy_signal"), 10.0).otherwise(-10.0).alias("quantity"), F.col("close").alias("price"))
-    return log, max(600, (rows.agg(F.max("period")).first()[0] or 0) + 1)
+    return log, (rows.agg(F.max("period")).first()[0] or 0) + 1
 
 
 def _sequential_sql() -> str:
@@ -520,7 +530,7 @@ def _sequential_sql() -> str:
       FROM (SELECT *, q > 0 AND cash >= val + greatest(val * 0.0003e0, 5) AS b, q < 0 AND pos >= -q AS x FROM (
         SELECT sq.symbol, t.rn, sq.cash, sq.pos, sq.board, t.q, t.close, abs(t.q) * t.close AS val FROM sq JOIN {s.last} t ON t.symbol = sq.symbol AND t.rn = sq.rn + 1)))""",
     ]
-    return f"WITH RECURSIVE {', '.join(s.ctes)} SELECT symbol AS scenario, (rn - 1)::BIGINT AS period, {r6('cash', 'cash')}, {r6('cash + pos * board', 'equity')} FROM sq WHERE rn BETWEEN 1 AND 600 AND symbol IN (SELECT symbol FROM {s.last} WHERE q != 0) UNION ALL SELECT symbol, p, {r6('cash', 'cash')}, {r6('cash + pos * board', 'equity')} FROM (SELECT symbol, max(rn) AS m FROM sq GROUP BY symbol) JOIN sq USING (symbol), unnest(range(0, 600)) AS u(p) WHERE sq.rn = m AND m < 600 AND p >= m AND symbol IN (SELECT symbol FROM {s.last} WHERE q != 0)"
+    return f"WITH RECURSIVE {', '.join(s.ctes)} SELECT symbol AS scenario, (rn - 1)::BIGINT AS period, {r6('cash', 'cash')}, {r6('cash + pos * board', 'equity')} FROM sq WHERE rn >= 1 AND symbol IN (SELECT symbol FROM {s.last} WHERE q != 0) UNION ALL SELECT symbol, p, {r6('cash', 'cash')}, {r6('cash + pos * board', 'equity')} FROM (SELECT symbol, max(rn) AS m FROM sq GROUP BY symbol) JOIN sq USING (symbol), (SELECT unnest(range((SELECT max(rn) FROM sq))) AS p) WHERE sq.rn = m AND p >= m AND symbol IN (SELECT symbol FROM {s.last} WHERE q != 0)"
 
 
 @query(_sequential_sql())
