@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from .operators.selector import Selector, kdj_lines
 from .operators.statistics import clean, linear, returns
 from .operators.strategy import Strategy
 from .plans import indicate
+from .session import shared_folder
 from .sources.bars import WALK_BARS_SQL, walk_bars
-from .sources.loader import align, union_relaxed
+from .sources.loader import align, load, prepare_sequential_data, union_relaxed
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -459,6 +461,50 @@ _signals("strategy_pattern", "pattern", _shaped(100), _shaped(-100), _shapes())
 _signals("strategy_trend", "trend", f"u AND NOT lag(u) OVER {ALL}", f"w AND NOT lag(w) OVER {ALL}", Sql().step(a=full("avg", "close", 5), m=full("avg", "close", 10), z=full("avg", "close", 20)).step(u="a > m AND m > z", w="a < m AND m < z"))
 
 
+# files
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each symbol of the walk bars, of other columns and formats: Parquet with and without a
+    column `symbol`, and CSV."""
+    rows = bars(spark, sf_dir).select(F.col("hour").alias("date"), "symbol", "open", "close", F.col("volume").cast("long").alias("volume"))
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for k, name in enumerate(r[0] for r in rows.select("symbol").distinct().orderBy("symbol").collect()):
+        df = rows.where(F.col("symbol") == name).where(F.col("date") % (k + 2) != 0)
+        if k % 3 == 0:
+            df.drop("symbol", "volume").write.parquet(f"{folder}/{name}.parquet")
+        elif k % 3 == 1:
+            df.drop("symbol").write.csv(f"{folder}/{name}.csv", header=True)
+        else:
+            df.drop("open").write.parquet(f"{folder}/part {k}.parquet")
+    return folder
+
+
+_FILED = f"""{WALK_BARS_SQL.strip()},
+no AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS k FROM (SELECT DISTINCT symbol FROM bars)),
+filed AS (SELECT hour AS date, symbol, k, CASE WHEN k % 3 != 2 THEN open END AS open, close, CASE WHEN k % 3 != 0 THEN volume::BIGINT END AS volume FROM bars JOIN no USING (symbol) WHERE hour % (k + 2) != 0)"""
+
+
+def _last(c: str) -> str:
+    return f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 0)"
+
+
+@query(f"WITH {_FILED}, grid AS (SELECT * FROM (SELECT DISTINCT date FROM filed), (SELECT DISTINCT symbol FROM filed)), g AS (SELECT * FROM grid LEFT JOIN filed USING (date, symbol)) SELECT date, symbol, {SIX.format(_last('open'))} AS open, {SIX.format(_last('close'))} AS close, {SIX.format(_last('volume'))} AS volume FROM g")
+def prepare_files(spark, sf_dir):
+    """prepare_sequential_data over a folder of ragged files."""
+    return out(prepare_sequential_data(spark, _written(spark, sf_dir)), ["date", "symbol"], "open", "close", "volume")
+
+
+@query(f"WITH {_FILED}, j AS (SELECT date, close, CASE WHEN k % 3 = 2 THEN 'part ' || k ELSE symbol END AS name FROM filed) SELECT date, count(*) AS files, {SIX.format('sum(close)')} AS total FROM j GROUP BY date")
+def load_files(spark, sf_dir):
+    """load, with what the wide columns of each date hold put together again."""
+    wide = load(spark, _written(spark, sf_dir))
+    closes = [F.col(f"`{c}`") for c in wide.columns if c.endswith("_close")]
+    held = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in closes), F.lit(0))
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in closes), F.lit(0.0))
+    return wide.select(F.col("date").cast("long").alias("date"), held.cast("long").alias("files"), six(total).alias("total"))
+
+
 # backtests
 
 

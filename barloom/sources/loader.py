@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,20 +67,67 @@ def align(df: DataFrame, date_col: str = "date", symbol_col: str = "symbol", fil
     return out.fillna(default_fill_value, subset=values).select(*keys, *values).orderBy(*keys)
 
 
+def _entry(folder: str) -> Column:
+    """Name of the file (or of the folder of parts) directly in `folder` that a row comes from."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # paths are escaped as in a URI
+    return F.regexp_extract(path, "/" + re.escape(PurePosixPath(folder.rstrip("/")).name) + "/([^/]+)(?:/[^/]*)*$", 1)
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def _csv(spark: SparkSession, folder: str, paths: list[str], symbol_col: str) -> list[DataFrame]:
+    """One frame for each header that occurs. The headers come from one pass over the first block of each file."""
+    text = spark.read.text(paths).where("_metadata.file_block_start = 0")
+    lines = text.select(_entry(folder).alias("name"), "value", F.monotonically_increasing_id().alias("line"))
+    first = lines.groupBy("name").agg(F.min_by("value", "line").alias("header"))
+    heads = {r["name"]: r["header"] for r in first.collect()}  # one line a file, as many as the listing holds
+    groups: dict[str, list[str]] = {}
+    for path in paths:
+        head = heads.get(PurePosixPath(path).name)
+        if head is not None:
+            groups.setdefault(head.rstrip("\r"), []).append(path)
+    frames = []
+    for same in groups.values():
+        df = spark.read.csv(same, header=True, inferSchema=True)
+        frames.append(df if symbol_col in df.columns else df.withColumn(symbol_col, _stem(_entry(folder))))
+    return frames
+
+
+def _parquet(spark: SparkSession, folder: str, paths: list[str], symbol_col: str) -> list[DataFrame]:
+    """One frame with all columns if the types agree; else one for each file."""
+    try:
+        df = spark.read.option("mergeSchema", True).parquet(*paths)
+    except Exception as e:
+        if len(paths) == 1 or "CANNOT_MERGE" not in str(e):
+            raise
+        return [f for path in paths for f in _parquet(spark, folder, [path], symbol_col)]
+    if symbol_col not in df.columns:
+        return [df.withColumn(symbol_col, _stem(_entry(folder)))]
+    if len(paths) == 1:
+        return [df]
+    # a file without the column is one whose symbols are all null; it is named, nulls of other files stay
+    named = df.groupBy(_entry(folder).alias("name")).agg(F.count(symbol_col).alias("n")).where("n = 0")
+    without = [r["name"] for r in named.collect()]
+    if not without:
+        return [df]
+    symbol = F.col(symbol_col)
+    return [df.withColumn(symbol_col, F.when(_entry(folder).isin(without), _stem(_entry(folder))).otherwise(symbol.cast("string")))]
+
+
 def prepare_sequential_data(spark: SparkSession, folder_path: str, date_col: str = "date", symbol_col: str = "symbol", fill_null_strategy: str = "forward", default_fill_value: float = 0.0) -> DataFrame:
     """Read the CSV and Parquet files of a folder (not below it), name the symbol after the file where a file has none,
-    and align() the union. Other files are skipped."""
-    frames = []
+    and align() the union. Other files are skipped.
+
+    Files are read together: Parquet in one frame, CSV in one for each header, so that the plan does not grow with the
+    number of files."""
+    kinds: dict[str, list[str]] = {}
     for path in _files(spark, folder_path):
-        name = PurePosixPath(path)
-        kind = name.suffix.lower()
-        if kind == ".csv":
-            df = spark.read.csv(path, header=True, inferSchema=True)
-        elif kind in (".parquet", ".pqt"):
-            df = spark.read.parquet(path)
-        else:
-            continue
-        frames.append(df if symbol_col in df.columns else df.withColumn(symbol_col, F.lit(name.stem)))
+        kind = PurePosixPath(path).suffix.lower()
+        kinds.setdefault("parquet" if kind == ".pqt" else kind.lstrip("."), []).append(path)
+    frames = _csv(spark, folder_path, kinds["csv"], symbol_col) if "csv" in kinds else []
+    frames += _parquet(spark, folder_path, kinds["parquet"], symbol_col) if "parquet" in kinds else []
     if not frames:
         raise ValueError(f"no CSV or Parquet file in {folder_path}")
     return align(union_relaxed(frames), date_col, symbol_col, fill_null_strategy, default_fill_value)
@@ -91,8 +139,10 @@ _KINDS = ("parquet", "csv", "json", "feather", "ipc", "xlsx", "xls")
 def load(spark: SparkSession, folder: str, file_type: list[str] | None = None, prefix: str | None = None, suffix: str | None = None, has_header: bool = True) -> DataFrame:
     """Files of one symbol each (the file's stem), full-joined on date as `{symbol}_{column}`.
 
-    Long form joins nothing: the files are stacked and pivoted once. Excel files need a reader that is not a dependency
-    of this package: asking for them raises ImportError if pandas cannot read them."""
+    Nothing is joined: the files are stacked and grouped by date once. A date that a file has twice is an error, raised
+    when the result is computed. The result is wide by its definition, with columns for each file: for thousands of
+    files use prepare_sequential_data, which keeps the long form. Excel files need a reader that is not a dependency of
+    this package: asking for them raises ImportError if pandas cannot read them."""
     wanted = [k.lower() for k in file_type or _KINDS]
     stacked, order = [], []
     for path in _files(spark, folder):
@@ -111,24 +161,41 @@ def load(spark: SparkSession, folder: str, file_type: list[str] | None = None, p
         if "date" not in df.columns:
             raise ValueError(f"{path} has no column date")
         order += [f"{stem}_{c}" for c in df.columns if c != "date"]
-        stacked.append(df.select("date", *(F.col(f"`{c}`").alias(f"{stem}_{c}") for c in df.columns if c != "date")))
+        stacked.append(df.select("date", F.lit(len(stacked)).alias("file no"), *(F.col(f"`{c}`").alias(f"{stem}_{c}") for c in df.columns if c != "date")))
     if not stacked:
         raise ValueError(f"no file to load in {folder}")
     rows = union_relaxed(stacked)
-    return rows.groupBy("date").agg(*(F.max(F.col(f"`{c}`")).alias(c) for c in order)).orderBy("date")
+    once = F.count("file no") == F.size(F.collect_set("file no"))
+    kind = rows.schema["date"].dataType
+    wide = rows.groupBy("date").agg(once.alias("once"), *(F.max(F.col(f"`{c}`")).alias(c) for c in order))  # of one row a file
+    twice = F.raise_error(F.concat(F.lit("a file has this date twice: "), F.coalesce(F.col("date").cast("string"), F.lit("null")))).cast(kind)
+    return wide.select(F.when(F.col("once"), F.col("date")).otherwise(twice).alias("date"), *(F.col(f"`{c}`") for c in order)).orderBy("date")
 
 
 def _binary(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Feather, Arrow IPC and Excel files, read whole through Spark's binary source."""
+    """Feather, Arrow IPC and Excel files, parsed by the task that reads them through Spark's binary source."""
     import io
 
     import pandas as pd
     import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def table(raw: bytes) -> pa.Table:
+        return pa.ipc.open_file(io.BytesIO(raw)).read_all() if kind in ("feather", "ipc") else pa.Table.from_pandas(pd.read_excel(io.BytesIO(raw)), preserve_index=False)
+
+    def schema(batches):
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([table(raw).schema.remove_metadata().serialize().to_pybytes()])], ["schema"])
+
+    def rows(batches):
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                yield from table(raw).replace_schema_metadata(None).to_batches()
 
-    raw = io.BytesIO(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    if kind in ("feather", "ipc"):
-        return spark.createDataFrame(pa.ipc.open_file(raw).read_all())
-    return spark.createDataFrame(pd.read_excel(raw))
+    content = spark.read.format("binaryFile").load(path).select("content")
+    known = pa.ipc.read_schema(pa.py_buffer(content.mapInArrow(schema, "schema binary").first()[0]))
+    return content.mapInArrow(rows, from_arrow_schema(known))
 
 
 def to_long(wide: DataFrame, columns: list[str], date_col: str = "date") -> DataFrame:
