@@ -161,9 +161,8 @@ class SequentialBacktester:
         curve, benchmark = done, None
         if self.benchmark is not None and dict(self.benchmark.dtypes)[self.benchmark.columns[0]] == "double":
             first = self.benchmark.columns[0]
-            values = [r[0] for r in self.benchmark.select(first).where(F.col(first).isNotNull()).collect()]
-            if len(values) == periods:
-                frame = orders.sparkSession.createDataFrame(list(enumerate(values)), "period long, benchmark double")
+            frame = _numbered(self.benchmark.select(F.col(first).alias("benchmark")).where("benchmark IS NOT NULL"))
+            if frame.count() == periods:
                 curve, benchmark = done.join(frame, "period"), "benchmark"
         names = [] if own else keys
         positions = done.select(*names, "period", F.explode(F.arrays_zip("assets", "quantities")).alias("p")).select(*names, "period", F.col("p.assets").alias("asset"), F.col("p.quantities").alias("quantity"))
@@ -171,6 +170,32 @@ class SequentialBacktester:
         return Result(positions, done.select(*names, "period", "cash", "equity"), table.drop("scenario") if own else table)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with `period`, the place of each row in df's order from 0: its place in its partition, and the rows before that."""
+    inside = (1 << 33) - 1  # the part of a monotonic id that counts within a partition
+    rows = df.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = sizes.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), F.col("part") == F.col("of")).select(*df.columns, (F.col("id").bitwiseAND(F.lit(inside)) + F.col("before")).alias("period"))
+
+
+def _streaks(trades: DataFrame) -> DataFrame:
+    """One row: the longest runs of wins and of losses in the order of exit dates and symbols.
+
+    Runs are found within each date first. Only a date's first and last run can go on in its neighbours, so the window
+    over all of them has three rows a date at most, whatever the number of trades."""
+    day = Window.partitionBy("exit_date")
+    won = trades.select("exit_date", "symbol", (F.col("pnl") > 0).alias("win"))
+    won = won.withColumn("run", F.row_number().over(day.orderBy("symbol")) - F.row_number().over(Window.partitionBy("exit_date", "win").orderBy("symbol")))
+    runs = won.groupBy("exit_date", "win", "run").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("at"))
+    runs = runs.withColumns({"pos": F.row_number().over(day.orderBy("at")), "last": F.count(F.lit(1)).over(day)})
+    inner = (F.col("pos") > 1) & (F.col("pos") < F.col("last"))
+    edges = runs.where(~inner | (F.col("pos") == 2)).withColumn("n", F.when(inner, 0).otherwise(F.col("n")))  # the second run parts the outer two
+    joined = edges.withColumn("run", F.row_number().over(Window.orderBy("exit_date", "pos")) - F.row_number().over(Window.partitionBy("win").orderBy("exit_date", "pos")))
+    every = joined.groupBy("win", "run").agg(F.sum("n").alias("n")).select("win", "n").unionByName(runs.where(inner).select("win", "n"))
+    return every.agg(F.max(F.when(F.col("win"), F.col("n"))).alias("max_win_streak"), F.max(F.when(~F.col("win"), F.col("n"))).alias("max_loss_streak"))
+
+
 _DAILY = ("cash", "quantity", "stock_value", "total_value", "side", "fill", "fee", "pnl", "entry_price")
 
 
@@ -307,9 +332,7 @@ class Backtest:
             F.sum(F.when(F.col("r") > 0, 1).otherwise(0)).alias("up_days"), F.sum(F.when(F.col("r") < 0, 1).otherwise(0)).alias("down_days"), F.sum("fee").alias("total_fees"), F.sum("turnover").alias("total_turnover"), F.avg(F.col("s") / F.col("v")).alias("capital_usage"),
         )
         trades = self.get_position_records(symbol)
-        o = Window.orderBy("exit_date", "symbol")
-        runs = trades.withColumn("win", F.col("pnl") > 0).withColumn("run", F.row_number().over(o) - F.row_number().over(Window.partitionBy("win").orderBy("exit_date", "symbol")))
-        streak = runs.groupBy("win", "run").count().agg(F.max(F.when(F.col("win"), F.col("count"))).alias("max_win_streak"), F.max(F.when(~F.col("win"), F.col("count"))).alias("max_loss_streak"))
+        streak = _streaks(trades)
         won, lost = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") <= 0, F.col("pnl"))
         trade = trades.agg(F.count(F.lit(1)).alias("trades"), F.count(won).alias("wins"), F.sum(won).alias("total_profit"), F.avg(won).alias("average_profit"), F.max(won).alias("largest_profit"), F.sum(lost).alias("total_loss"), F.avg(lost).alias("average_loss"), F.min(lost).alias("largest_loss"), F.count_distinct("symbol").alias("traded_symbols"))
         per_symbol = rows.groupBy("symbol").agg(F.max_by("total_value", "date").alias("v")).agg(F.max_by("symbol", "v").alias("best_symbol"), F.min_by("symbol", "v").alias("worst_symbol"))

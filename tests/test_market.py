@@ -1,14 +1,17 @@
 """Loading, statistics and backtests by hand-made cases."""
 
+import itertools
 import math
+import random
 
 import duckdb
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barloom import market_queries
-from barloom.operators.backtest import Backtest, SequentialBacktester, VectorizedBacktester
+from barloom.operators.backtest import Backtest, SequentialBacktester, VectorizedBacktester, _numbered, _streaks
 from barloom.operators.factor import Factor
 from barloom.operators.selector import Selector
 from barloom.operators.statistics import clean, linear, returns, student_p
@@ -122,6 +125,22 @@ def test_sequential_query_takes_all_bars(spark):
     assert rows(duck.sql(sql).df()) == got and len(got) == 5 * 686
 
 
+def test_streaks_over_dates_and_symbols(spark):
+    rng = random.Random(5)
+    for odds in (0.2, 0.5, 0.9):
+        trades = [(day, sym, 1.0 if rng.random() < odds else -1.0) for day in range(30) for sym in rng.sample("abcdefgh", rng.randint(0, 8))]
+        wins = [p > 0 for _, _, p in sorted(trades)]
+        longest = lambda kind: max((len(list(g)) for k, g in itertools.groupby(wins) if k is kind), default=None)
+        got = _streaks(spark.createDataFrame(trades, "exit_date long, symbol string, pnl double").repartition(4)).first()
+        assert tuple(got) == (longest(True), longest(False))
+
+
+def test_rows_are_numbered_in_their_order(spark):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 != 0").select(F.col("id").alias("benchmark"))
+    got = [(r["period"], r["benchmark"]) for r in _numbered(df).collect()]
+    assert sorted(got) == list(enumerate(k for k in range(1000) if k % 3))
+
+
 def test_sequential_raises(spark):
     with pytest.raises(ZeroDivisionError):
         SequentialBacktester(1).run(lambda ctx, i: 1 / 0, spark)
