@@ -57,10 +57,11 @@ def six(c: Column) -> Column:
 
 
 class Sql:
-    """Common table expressions built up over `bars`."""
+    """Common table expressions built up over `bars`, and with jumps over jump_bars too."""
 
-    def __init__(self) -> None:
-        self.ctes = [WALK_BARS_SQL.strip(), "b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hour) AS rn FROM bars)"]
+    def __init__(self, jumps: bool = False) -> None:
+        more = [JUMP_BARS_SQL.strip(), "every AS (SELECT * FROM bars UNION ALL SELECT * FROM jumps)"] if jumps else []
+        self.ctes = [WALK_BARS_SQL.strip(), *more, f"b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hour) AS rn FROM {'every' if jumps else 'bars'})"]
         self.last = "b"
         self.n = 0
 

@@ -18,7 +18,7 @@ from .operators.statistics import clean, linear, returns
 from .operators.strategy import Strategy
 from .plans import indicate
 from .session import shared_folder
-from .sources.bars import WALK_BARS_SQL, walk_bars
+from .sources.bars import WALK_BARS_SQL, jump_bars, walk_bars
 from .sources.loader import align, load, prepare_sequential_data, union_relaxed
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -333,11 +333,13 @@ def factor_rolling_ic(spark, sf_dir):
 
 
 def _selector(spark, sf_dir) -> Selector:
-    return Selector(bars(spark, sf_dir), "hour")
+    """Walk bars and jump bars, so that each screen finds some of the symbols."""
+    walk = bars(spark, sf_dir)
+    return Selector(walk.unionByName(jump_bars(walk)), "hour")
 
 
 def _info_sql() -> Sql:
-    s = Sql().step(**{f"p{k}": f"lag(close, {k}) OVER {ALL}" for k in (1, 5, 20)}, z=f"row_number() OVER (PARTITION BY symbol ORDER BY hour DESC)")
+    s = Sql(jumps=True).step(**{f"p{k}": f"lag(close, {k}) OVER {ALL}" for k in (1, 5, 20)}, z=f"row_number() OVER (PARTITION BY symbol ORDER BY hour DESC)")
     s.step(r="(close - p1) / nullif(p1, 0)").step(vol=f"100 * sqrt(252.0) * {full('stddev_samp', 'r', 20)}", v5=full("avg", "volume", 5), **{f"ma_{k}": full("avg", "close", k) for k in (5, 10, 20)})
     return s
 
@@ -372,18 +374,19 @@ _screen("selector_ma", "close > m", lambda s: s.step(m=full("avg", "close", 30))
 _screen("selector_ma_below", "close < m", lambda s: s.step(m=full("avg", "close", 30)), ma_below=30)
 _screen("selector_rsi", "CASE WHEN an = 0 THEN 100 ELSE 100 - 100 / (1 + au / an) END BETWEEN 20 AND 80", lambda s: s.step(d=f"coalesce(close - lag(close) OVER {ALL}, 0)").step(u="greatest(d, 0)", n="greatest(-d, 0)").rma("au", "u", 14).rma("an", "n", 14), rsi_min=20, rsi_max=80)
 _screen("selector_macd", "dif > 0", lambda s: s.ema("f", "close", 12).ema("l", "close", 26).step(dif="f - l"), macd="above_zero")
-_screen("selector_limit", "100 * r <= -0.09 AND 100 * r > -0.1", limit_type="near_limit_down", limit_threshold=0.1)
+_screen("selector_limit", "100 * r >= 4", limit_type="limit_up", limit_threshold=4)
+_screen("selector_near_limit", "100 * r <= -0.9 * 6 AND 100 * r > -6", limit_type="near_limit_down", limit_threshold=6)
 _screen("selector_volume_change", "volume / nullif(vb, 0) <= 1 / 1.1", lambda s: s.step(vb="avg(volume) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"), volume_change="volume_shrink", volume_multiplier=1.1)
 _screen("selector_consecutive", "run = 2", lambda s: s.step(up="CASE WHEN close > p1 THEN 1 ELSE 0 END").step(run=f"sum(up) OVER {W(2)}"), consecutive="consecutive_up", consecutive_days=2)
 _screen("selector_breakout", "close < lo", lambda s: s.step(lo="min(low) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"), breakout="breakdown_low", breakout_period=3)
 
 
-def _kdj(s: Sql) -> Sql:
+def _kdj(s: Sql, p: int = 9) -> Sql:
     """K and D as a recursion over the bars that have a range."""
-    s.step(top=full("max", "high", 9), bottom=full("min", "low", 9)).step(rsv="(close - bottom) * 100 / nullif(top - bottom, 0)")
+    s.step(top=full("max", "high", p), bottom=full("min", "low", p)).step(rsv="(close - bottom) * 100 / nullif(top - bottom, 0)")
     s.ctes += [
         f"q0 AS (SELECT symbol, rn, rsv, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS j FROM {s.last} WHERE rsv IS NOT NULL)",
-        "qr AS (SELECT symbol, 0::BIGINT AS j, 50.0::DOUBLE AS k, 50.0::DOUBLE AS d FROM (SELECT DISTINCT symbol FROM bars) UNION ALL SELECT r.symbol, r.j + 1, (2 * r.k + q.rsv) / 3, (2 * r.d + (2 * r.k + q.rsv) / 3) / 3 FROM qr r JOIN q0 q ON q.symbol = r.symbol AND q.j = r.j + 1)",
+        "qr AS (SELECT symbol, 0::BIGINT AS j, 50.0::DOUBLE AS k, 50.0::DOUBLE AS d FROM (SELECT DISTINCT symbol FROM b) UNION ALL SELECT r.symbol, r.j + 1, (2 * r.k + q.rsv) / 3, (2 * r.d + (2 * r.k + q.rsv) / 3) / 3 FROM qr r JOIN q0 q ON q.symbol = r.symbol AND q.j = r.j + 1)",
         f"qs AS (SELECT t.*, y.k, y.d FROM {s.last} t LEFT JOIN (SELECT q0.symbol, q0.rn, qr.k, qr.d FROM q0 JOIN qr USING (symbol, j)) y USING (symbol, rn))",
     ]
     s.last = "qs"
@@ -396,7 +399,7 @@ def kdj(spark, sf_dir):
     return out(rows.select("symbol", "hour", "m.k", "m.d"), ["symbol", "hour"], "k", "d")
 
 
-_screen("selector_kdj", "k < 20 AND d < 20", _kdj, kdj="oversold")
+_screen("selector_kdj", "k < 20 AND d < 20", lambda s: _kdj(s, 21), kdj="oversold", kdj_period=21)
 _screen("selector_kdj_cross", "lag_k <= 0 AND k - d > 0", lambda s: _kdj(s).step(lag_k=f"lag(k - d) OVER {ALL}"), kdj="golden_cross")
 
 
@@ -648,6 +651,31 @@ def backtest_statistics(spark, sf_dir):
     return money(_lots(spark, sf_dir).statistics(), [], "total_return", "annualized_return", "max_drawdown", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "trades", "win_rate", "total_fees")
 
 
+_ONE = "purchase"
+
+
+@query(_lots_sql(f"SELECT date, {_four(cash='cash', stock_value='stock_value', total_value='total_value')} FROM dr WHERE symbol = '{_ONE}'"))
+def backtest_stock_daily(spark, sf_dir):
+    return money(_lots(spark, sf_dir).get_stock_daily(_ONE), ["date"], "cash", "stock_value", "total_value")
+
+
+@query(_lots_sql(f"SELECT date AS exit_date, {_four(quantity='-side', exit_price='fill', pnl='pnl')} FROM dr WHERE side < 0 AND symbol = '{_ONE}'"))
+def backtest_stock_positions(spark, sf_dir):
+    return money(_lots(spark, sf_dir).get_stock_positions(_ONE), ["exit_date"], "quantity", "exit_price", "pnl")
+
+
+@query(_lots_sql(f"SELECT date, {_four(stock_value='total_value', daily_pnl='total_value - last', cumulative_return_pct='100 * (total_value - 1000000) / 1000000')} FROM (SELECT *, coalesce(lag(total_value) OVER (ORDER BY date), 1000000) AS last FROM dr WHERE symbol = '{_ONE}')"))
+def backtest_stock_performance(spark, sf_dir):
+    return money(_lots(spark, sf_dir).get_stock_performance(_ONE), ["date"], "stock_value", "daily_pnl", "cumulative_return_pct")
+
+
+@query(_lots_sql(f"SELECT count(*) AS days, {_four(final_capital='max_by(total_value, date)', total_return='max_by(total_value, date) / 1000000 - 1', total_fees='sum(fee)')}, count(*) FILTER (side < 0) AS trades FROM dr WHERE symbol = '{_ONE}'"))
+def backtest_stock_summary(spark, sf_dir):
+    """One row of get_stock_summary."""
+    row = _lots(spark, sf_dir).get_stock_summary(_ONE)
+    return money(row, ["days", "trades"], "final_capital", "total_return", "total_fees")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in Q.items()}
 
