@@ -8,10 +8,11 @@ Fit. On at most `POSITIVES` + `NEGATIVES` labelled rows outside the held-out fol
 sample is the same wherever rows lie. Every bucket on 3 rows or more (2 in small samples) is fitted, also one that speaks
 for clean text or only in a pair; AdaGrad, fixed seed. `SPARSE` draws weights and vectors to zero, save for buckets whose
 likelihood ratio alone says that they tell the classes apart; buckets that end at zero add nothing and are left out of
-the model. The sample bounds what reaches the driver and the size of the model, which is broadcast. Scoring reads only the text column, in Arrow batches, without a shuffle.
+the model. The fit runs in one task, which the sample bounds; the driver gets the model, and broadcasts it. Scoring reads
+only the text column, in Arrow batches, without a shuffle.
 
 Defined cases: null text is empty and gets the prior's score; labels without a document, null or conflicting (a
-repeated id) are fitted as far as they are usable; without two classes every score is the prior, 0 if nothing is
+repeated id) are fitted as far as they are usable, of documents with one id the one whose terms sort first; without two classes every score is the prior, 0 if nothing is
 labelled; other columns are ignored.
 """
 
@@ -127,19 +128,32 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 7) -> Machine:
 
 def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [terms(t).tobytes() for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [terms(t).tobytes() for t in pdf["text"]]})
+
+
+def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The whole sample in one task, in an order of its own."""
+    rows = [(int(y), t) for pdf in batches for y, t in zip(pdf["toxic"], pdf["terms"], strict=True)]
+    rows.sort(key=lambda r: (zlib.crc32(r[1]), r[0], r[1]))
+    m = fit([(y, np.frombuffer(t, np.int32)) for y, t in rows])
+    known = np.fromiter(m.at, np.int32, len(m.at))
+    yield pd.DataFrame({"w0": [m.w0], "known": [known.tobytes()], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Fit on the labelled documents outside the held-out fold."""
+    """Fit on the labelled documents outside the held-out fold, in a task: the driver sees the model alone."""
     ship(docs.sparkSession)
     usable = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(fold("id") != 0)
     order = [F.xxhash64("id"), "id", "toxic"]
     sample = usable.where("toxic = 1").orderBy(*order).limit(POSITIVES).unionByName(usable.where("toxic = 0").orderBy(*order).limit(NEGATIVES))
-    joined = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # at most POSITIVES + NEGATIVES rows
-    featured = joined.select("doc_id", "toxic", "text").mapInPandas(_featurise, "toxic int, terms binary")
-    rows = featured.orderBy(F.xxhash64("terms"), "toxic", "terms").limit(POSITIVES + NEGATIVES).collect()
-    return fit([(r[0], np.frombuffer(r[1], np.int32)) for r in rows])
+    joined = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample.distinct()), F.col("doc_id") == F.col("id"))  # at most POSITIVES + NEGATIVES rows
+    featured = joined.select("doc_id", "toxic", "text").mapInPandas(_featurise, "doc_id long, toxic int, terms binary")
+    one = featured.groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms"))  # no more rows than the sample has, whatever ids repeat
+    row = one.select("toxic", "terms").repartition(1).mapInPandas(_fit_rows, "w0 double, known binary, w binary, v binary").first()
+    if row is None:
+        return fit([])
+    w = np.frombuffer(row["w"])
+    return Machine(np.frombuffer(row["known"], np.int32), row["w0"], w, np.frombuffer(row["v"]).reshape(len(w), FACTORS))
 
 
 def scorer(docs: DataFrame, machine: Machine) -> Column:
