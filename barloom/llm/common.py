@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder
 
 #: White space that parts words: space and \x09 to \x0D, nothing else.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -62,18 +62,6 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share: the cluster's spark.checkpoint.dir. Only on a single
-    machine, where a local folder is shared, a temporary one is made if that is unset; a cluster without it is an error."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: lost executors cost no recomputation, and later
     steps read it as often as they like. Partitions and their order stay as they are."""
@@ -123,5 +111,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None,
     return F.broadcast(df)
 
 
+def spread(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with table, in which keys are unique and `n` says how many of the `total` rows have them.
+
+    A key with a ten-thousandth of all rows or more (64 at least) meets its rows in a broadcast join, where they lie:
+    there are at most 10,000 of those, whatever the input. The others are joined by shuffle, where none is hot."""
+    bound = max(64, total // 10_000)
+    others = [c for c in table.columns if c not in keys]
+    hot = F.broadcast(table.where(F.col(n) >= bound).select(*(F.col(k).alias(f"hot_{k}") for k in keys), F.struct(*others).alias("hot")))
+    marked = rows.join(hot, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"hot_{k}") for k in keys)), "left")
+    calm = marked.where("hot IS NULL").select(*rows.columns).join(table.where(F.col(n) < bound), keys)
+    return marked.where("hot IS NOT NULL").select(*rows.columns, "hot.*").unionByName(calm.select(*rows.columns, *others))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import SPACES, cut, small, text_of
+from .common import SPACES, cut, small, spread, text_of
 
 CAPACITY = 50_000
 MOST_BUCKETS = 1 << 16
@@ -162,7 +162,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def send() -> pa.RecordBatch:
         types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["of_key", "of_digest", "link", "rep", "n", "ties", "clash"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "digest", "link", "rep", "n", "ties", "clash"])
 
     for b in batches:
         for k, *entry in zip(*(b.column(c).to_pylist() for c in ("key", "digest", "text", "missing", "rep", "n", "ties")), strict=True):
@@ -201,11 +201,11 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # bucket b is owner (b * owners) / buckets's: neighbouring buckets lie in one file, which the checkpoint writes as it is
     owner = F.floor(F.col("bucket").cast("long") * owners / len(buckets)).cast("int")
     index = cut(entries.repartitionById(owners, owner).sortWithinPartitions("bucket", "key"))
-    found = cut(index.mapInArrow(_own, "of_key long, of_digest binary, link int, rep long, n long, ties long, clash boolean"))
+    found = cut(index.mapInArrow(_own, "key long, digest binary, link int, rep long, n long, ties long, clash boolean"))
     if found.where("clash").limit(1).count():
         return _by_bytes(texts)
 
-    joined = base.join(found, (F.col("key") == F.col("of_key")) & (F.col("digest") == F.col("of_digest")))
+    joined = spread(base, found, ["key", "digest"], "n", found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     stays = F.col("doc_id").eqNullSafe(F.col("rep"))
     if found.where("ties > 1").limit(1).count():  # ids repeat: of the rows with the id that stays, one stays
         joined = cut(joined.withColumn("row", F.monotonically_increasing_id()))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import WORD_RE_BYTES, cut, fresh, small, text_of
+from .common import WORD_RE_BYTES, cut, fresh, small, spread, text_of
 from .components import components
 
 MAX_BITS = 3
@@ -107,17 +107,13 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
-#: A distinct fingerprint as a node: ordered by its smallest id, those without one last.
-NODE = "struct<none:boolean,id:long,fp:long>"
-
-
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps, node = b.column("fp").to_numpy(), b.column("node")
+        fps = b.column("fp").to_numpy()
         rows, keys, homes = anchors(fps.view(np.uint64))
         for k in range(0, len(rows), 1 << 16):
             part = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), node.take(pa.array(rows[part])), pa.array(homes[part])], ["anchor", "node", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(fps[rows[part]]), pa.array(homes[part])], ["anchor", "fp", "home"])
 
 
 class _Forest:
@@ -164,11 +160,10 @@ def _compare(most: int):
         forest, held = _Forest(), None
 
         def edges(group: pa.RecordBatch) -> pa.RecordBatch | None:
-            node = group.column("node")
-            fps = node.field("fp").to_numpy()
+            fps = group.column("fp").to_numpy()
             a, b = _links(group.column("key").to_numpy(), fps.view(np.uint64), group.column("home").to_numpy(zero_copy_only=False), most)
             new = [k for k, (x, y) in enumerate(zip(fps[a].tolist(), fps[b].tolist(), strict=True)) if forest.join(x, y)]
-            return pa.RecordBatch.from_arrays([node.take(pa.array(a[new])), node.take(pa.array(b[new]))], ["u", "v"]) if new else None
+            return pa.RecordBatch.from_arrays([pa.array(fps[a[new]]), pa.array(fps[b[new]])], ["u", "v"]) if new else None
 
         for b in batches:
             now = b if held is None else pa.concat_batches([held, b])
@@ -186,24 +181,23 @@ def _compare(most: int):
 
 
 def links(reps: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Forest edges (u, v: NODE) between distinct fingerprints at `most` bits or fewer. reps: (fp, rep: its smallest id)."""
-    node = F.struct(F.col("rep").isNull().alias("none"), F.coalesce("rep", F.lit(0)).cast("long").alias("id"), "fp")
-    copies = reps.select("fp", node.alias("node")).mapInArrow(_replicate, f"anchor long, node {NODE}, home boolean")
+    """Forest edges (u, v) between distinct fingerprints at `most` bits or fewer; reps: (fp)."""
+    copies = reps.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
     crowded = cut(copies.groupBy("anchor").count().where(F.col("count") > block))
     some = crowded.limit(1).count() > 0
     if some:  # the crowded anchors' groups, dealt into pairs of blocks
         crowded = crowded.select("anchor", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
         hint = small(crowded, 20_000)
         calm = copies.join(hint, "anchor", "left_anti").withColumn("pair", F.lit(0).cast("long"))
-        dealt = copies.join(hint, "anchor").withColumn("own", F.pmod(F.xxhash64("node.fp"), F.col("blocks")))
+        dealt = copies.join(hint, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
         dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         dealt = dealt.withColumn("pair", (1 + F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).cast("long"))
-        copies = calm.unionByName(dealt.select("anchor", "node", "home", "pair"))
-        copies = copies.select(F.xxhash64("anchor", "pair").alias("key"), "node", "home")  # a rare clash of keys only joins two groups
+        copies = calm.unionByName(dealt.select("anchor", "fp", "home", "pair"))
+        copies = copies.select(F.xxhash64("anchor", "pair").alias("key"), "fp", "home")  # a rare clash of keys only joins two groups
     else:
         copies = copies.withColumnRenamed("anchor", "key")
     dealt = copies.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare(most), f"u {NODE}, v {NODE}")
+    return dealt.mapInArrow(_compare(most), "u long, v long")
 
 
 def _grouped(docs: DataFrame, most: int) -> DataFrame:
@@ -211,11 +205,13 @@ def _grouped(docs: DataFrame, most: int) -> DataFrame:
     ship(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
     prints = cut(texts.mapInArrow(_fingerprints, "doc_id long, th long, fp long"))
-    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(links(reps, most)).select(F.col("node.fp").alias("node_fp"), "component")
-    known = F.when(F.col("component").isNull(), F.col("rep")).when(~F.col("component.none"), F.col("component.id"))
-    named = reps.join(linked, F.col("fp") == F.col("node_fp"), "left").select("fp", known.alias("component_id"), F.coalesce("component.fp", "fp").alias("of"))
-    return prints.join(named, "fp")
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    linked = components(links(reps, most))
+    known = cut(reps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("of")))
+    groups = known.groupBy("of").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    distinct, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = cut(spread(known.select("fp", "n", "of"), cut(groups), ["of"], "held", distinct).select("fp", "n", "of", "component_id"))
+    return spread(prints, named, ["fp"], "n", total)
 
 
 def simhash_groups(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:

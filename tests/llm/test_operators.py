@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barloom.llm import exact_dedup, langid, line_dedup, mixing, packing, pii, quality_rules, queries, simhash, substring_dedup, toxicity
+from barloom.llm.common import spread
 from barloom.llm.components import components
 
 from . import brute
@@ -106,7 +107,7 @@ def exact_dedup_unmerged(batches):
     for b in batches:
         n = b.num_rows
         columns = [b.column("key"), b.column("digest"), pa.array([0] * n, pa.int32()), b.column("rep"), b.column("n"), b.column("ties"), pa.array([False] * n)]
-        yield pa.RecordBatch.from_arrays(columns, ["of_key", "of_digest", "link", "rep", "n", "ties", "clash"])
+        yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "link", "rep", "n", "ties", "clash"])
 
 
 BIG = (1 << 53) + 1
@@ -154,8 +155,19 @@ def test_links_lose_nothing(spark, block):
     fps = sorted(fps)
     rows = [(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)]
     found = components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), 3, block))
-    got = {r["node"]["id"]: r["component"]["id"] for r in found.collect()}
-    assert [got.get(k, k) for k in range(len(fps))] == brute.components(list(range(len(fps))), fps)
+    of = {r["node"]: r["component"] for r in found.collect()}
+    least: dict[int, int] = {}
+    for x, k in rows:
+        least[of.get(x, x)] = min(k, least.get(of.get(x, x), k))
+    assert [least[of.get(x, x)] for x, _ in rows] == brute.components(list(range(len(fps))), fps)
+
+
+def test_hot_keys_are_joined_where_they_lie(spark):
+    rows = spark.createDataFrame([(k, 7 if k < 500 else k, "r") for k in range(800)], "id long, key long, more string")
+    table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = spread(rows, table, ["key"], "n", 800)
+    assert got.columns == ["id", "key", "more", "n", "least"]
+    assert sorted(map(tuple, got.collect())) == [(k, 7, "r", 500, 0) if k < 500 else (k, k, "r", 1, k) for k in range(800)]
 
 
 def test_a_row_without_an_id_links(spark, monkeypatch):
