@@ -19,18 +19,13 @@ from barloom.llm import line_dedup, mixing, packing, simhash, toxicity
 from barloom.llm.common import fresh, read, remove, shared_folder
 
 
-#: A boilerplate line stands on this many different pages of a source at least: near copies of one text that differ in up
-#: to three lines count for four.
-MIN_PAGES = 5
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_lines, n_dropped = fresh(docs, "n_lines", "n_dropped")
-    done = line_dedup.line_dedup(docs, "text", "source", min_pages=MIN_PAGES, copies_once=True, counts=(n_lines, n_dropped))
+    done = line_dedup.line_dedup(docs, "text", "source", copies_once=True, counts=(n_lines, n_dropped))
     if "n_chars" in docs.columns:
         shorter = F.when(F.col(n_dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         done = done.withColumn("n_chars", shorter)
