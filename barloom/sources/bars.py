@@ -42,10 +42,13 @@ JUMP_DRIFTS = (0, -300, 300, -600, 600, -598)
 
 def jump_bars(walk: DataFrame) -> DataFrame:
     """Bars with gaps, long bodies, equal prices and runs, on which candlestick patterns of several bars occur: for each
-    bar of walk_bars and each drift one, named symbol + drift, of prices that the walk's own numbers choose."""
+    bar of walk_bars and each drift one, named symbol + drift, of prices that the walk's own numbers choose.
+
+    A long fall of the walk makes remainders negative. As the SQL's lists do, -1 (place 0) chooses null, and lower ones count
+    from the list's end."""
     seed = (F.col("hour") * 48271 + F.round(F.col("open") * 100).cast("long") * 16807 + F.round(F.col("close") * 100).cast("long") * 7919 + F.col("volume").cast("long") * 104729) % 2147483647
     n, m = len(JUMP_LEVELS), len(JUMP_SHADOWS)
-    pick = lambda of, by, k: F.element_at(F.array(*map(F.lit, of)), (F.floor(F.col("s") / by) % k + 1).cast("int"))
+    pick = lambda of, by, k: F.element_at(F.array(*map(F.lit, (*of[2:], None, *of))), F.expr(f"int(s div {by} % {k}) + {k}"))  # noqa: E731  # remainders from 1 - k
     rows = walk.select("symbol", "hour", "volume", seed.alias("s"), F.explode(F.array(*map(F.lit, JUMP_DRIFTS))).alias("drift"))
     base = F.col("drift") * (F.col("hour") % 6)
     rows = rows.select("symbol", "hour", "volume", "drift", (base + pick(JUMP_LEVELS, 1, n)).alias("a"), (base + pick(JUMP_LEVELS, n, n)).alias("b"), pick(JUMP_SHADOWS, n * n, m).alias("p"), pick(JUMP_SHADOWS, n * n * m, m).alias("q"))
