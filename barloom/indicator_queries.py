@@ -52,8 +52,13 @@ def skipping(x: str, p: int) -> str:
 SIX = "floor(({})::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
 
+def floor(c: Column) -> Column:
+    """As a double, where Spark gives a long: NaN, infinite and large numbers stay what they are."""
+    return F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)
+
+
 def six(c: Column) -> Column:
-    return F.floor(c.cast("double") * 1e6 + 0.5).cast("double") / 1e6
+    return floor(c.cast("double") * 1e6 + 0.5) / 1e6
 
 
 class Sql:

@@ -4,10 +4,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom import candle_sql, indicator_queries, market_queries
 from barloom.functions import candles
 from barloom.functions import kernels as K
+from barloom.operators.backtest import VectorizedBacktester, simulate, simulate_lots
 from barloom.operators.strategy import Strategy
 from barloom.plans import indicate
 from barloom.sources.bars import JUMP_BARS_SQL, WALK_BARS_SQL, jump_bars, walk_bars
@@ -87,3 +89,31 @@ def test_grid_of_prices_below_zero(spark):
 
 def test_grid_query(spark, falling):
     held("strategy_grid", market_queries, spark, falling)
+
+
+def test_signed_prices_are_traded():
+    """Sold below zero where prices are signed; else the position is kept, as before."""
+    price, buy, sell = np.array([10.0, -2.0, 0.0, 5.0]), np.array([1.0, 0, 0, 0]), np.array([0.0, 1, 0, 0])
+    kept = simulate(price, buy, sell, 1000.0, 0.0, 0.0, 0.0, 0.0, 5.0, 1.0)
+    assert kept[0].tolist() == [100] * 4 and kept[1].tolist() == [-5] * 4
+    sold = simulate(price, buy, sell, 1000.0, 0.0, 0.0, 0.0, 0.0, 5.0, 1.0, True)
+    assert sold[0].tolist() == [100, 0, 0, 0] and sold[1].tolist() == [-5, -210, -210, -210]
+    lots = lambda *signed: simulate_lots(price, buy, sell, 1100.0, 1.0, 1.0, 0.3, 0.06, 0.0, 5.0, 0.0, *signed)
+    assert lots()[1].tolist() == [100] * 4
+    assert lots(True)[0].tolist() == [95, -110, -110, -110]  # owed, without interest
+
+
+def test_metrics_of_signed_values(spark):
+    """NaN is kept apart from null and from zero."""
+    df = spark.createDataFrame([("s", t, p, False, False) for t, p in enumerate([10.0, 5.0, 4.0, 3.0, -2.0])], "symbol string, date int, price double, buy_signal boolean, sell_signal boolean")
+    m = VectorizedBacktester(df, benchmark="price", signed=True).run().metrics.first()
+    assert m["annualized_return"] == 0 and m["sharpe_ratio"] == float("-inf") and np.isnan(m["alpha"]) and m["beta"] == 0
+    m = VectorizedBacktester(df, benchmark="price").run().metrics.first()
+    assert m["sharpe_ratio"] == 0 and m["alpha"] == pytest.approx(-0.03 - 0 * m["beta"])
+    got = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e15,), (-1.2345678,), (None,)], "x double").select(indicator_queries.six(F.col("x")).alias("x")).collect()
+    assert np.isnan(got[0]["x"]) and [r["x"] for r in got[1:]] == [float("inf"), 1e15, -1.234568, None]
+
+
+@pytest.mark.parametrize("name", ["backtest_vectorized", "backtest_metrics", "backtest_daily_records", "backtest_position_records", "backtest_performance", "backtest_statistics"])
+def test_backtest_queries(name, spark, falling):
+    held(name, market_queries, spark, falling)
